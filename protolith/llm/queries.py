@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import table
+from .packing import pack_documents
 from .simhash import near_duplicates
+from .tokenfiles import corpus_folder, read_tokens, write_tokens
+
+
+def op1_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_files(spark, sf_dir):
+    folder = corpus_folder(spark)
+    write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder)
 
 
 def op9_simhash(spark, sf_dir):
@@ -11,6 +25,8 @@ def op9_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op6_token_files": op6_token_files,
     "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict = {}
