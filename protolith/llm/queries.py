@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import embeddings, secrets
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -14,6 +15,14 @@ def op1_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_embedding_join(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     folder = corpus_folder(spark)
     write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
@@ -26,6 +35,8 @@ def op9_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_embedding_join": op3_embedding_join,
+    "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
     "op9_simhash": op9_simhash,
 }
