@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import embeddings, secrets
+from . import chat, embeddings, secrets
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -15,6 +15,10 @@ def op1_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_chat_perspectives(spark, sf_dir):
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op3_embedding_join(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -35,9 +39,10 @@ def op9_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_chat_perspectives": op2_chat_perspectives,
     "op3_embedding_join": op3_embedding_join,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
     "op9_simhash": op9_simhash,
 }
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict = {"op2_chat_perspectives": chat.ORACLE}
