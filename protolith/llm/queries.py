@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, embeddings, secrets
+from . import chat, embeddings, html, language, quality, secrets
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -23,6 +23,11 @@ def op3_embedding_join(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,15 @@ def op6_token_files(spark, sf_dir):
     return read_tokens(spark, folder)
 
 
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+def op8_html(spark, sf_dir):
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,8 +55,11 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_perspectives": op2_chat_perspectives,
     "op3_embedding_join": op3_embedding_join,
+    "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_token_files": op6_token_files,
+    "op7_language": op7_language,
+    "op8_html": op8_html,
     "op9_simhash": op9_simhash,
 }
 ORACLE_SQL: dict = {"op2_chat_perspectives": chat.ORACLE}
