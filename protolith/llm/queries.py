@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, embeddings, html, language, quality, secrets
+from . import chat, decontaminate, embeddings, html, language, quality, secrets
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -51,6 +51,10 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat_perspectives": op2_chat_perspectives,
@@ -61,5 +65,6 @@ QUERIES = {
     "op7_language": op7_language,
     "op8_html": op8_html,
     "op9_simhash": op9_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict = {"op2_chat_perspectives": chat.ORACLE}
