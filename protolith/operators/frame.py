@@ -53,11 +53,11 @@ def _decode(schema: Schema, name: str, column: pa.Array, depth: int, valid: np.n
 def from_message(schema: Schema, name: str, source, depth: int = 8) -> Column:
     """A message as a struct. Presence fields are null when absent, others have their default; null messages are null."""
     kind = schema.struct_type(name, depth)
-    text = schema.to_json()
+    text, arrow = schema.to_json(), to_arrow_type(_parse_datatype_string(kind))
 
     def run(column: pa.Array) -> pa.Array:
         out = _decode(Schema.from_json(text), name, column, depth, np.asarray(column.is_valid()))
-        return out.cast(to_arrow_type(_parse_datatype_string(kind)))
+        return out.cast(arrow)
 
     return F.arrow_udf(run, kind).asNondeterministic()(F.col(source) if isinstance(source, str) else source)
 

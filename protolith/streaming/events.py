@@ -13,7 +13,7 @@ FIELDS = {"seconds": (1, "int64", 0), "nanos": (2, "int32", 0)}
 
 def encode_events(events: DataFrame) -> DataFrame:
     """Messages of the ``events`` table, with the event time beside them for watermarks."""
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     stamp = pb.build([(1, "int64", F.floor(micros / 1_000_000).cast("bigint")), (2, "int32", (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int"))])
     return events.select(
         "ts",
