@@ -73,6 +73,9 @@ class Index:
     basis: np.ndarray  # weighted rows: one per term
     items: np.ndarray  # (items, rank), divided by the items' lengths
 
+    def __post_init__(self):
+        self.longest = max(map(len, self.texts))
+
     def windows(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First block of each window, and its cosines with all items."""
         block = at // BLOCK
@@ -96,9 +99,15 @@ class Index:
             if not len(at):
                 continue
             start, cosine = self.windows(ids[at], at)
-            for w, k in np.argwhere(cosine >= COSINE):
+            last, a, around = -1, 0, set()
+            for w, k in np.argwhere(cosine >= COSINE).tolist():
                 item = self.texts[k]
-                a = low + int(start[w]) * BLOCK
+                if w != last:
+                    last, a = w, low + int(start[w]) * BLOCK
+                    around = set(found[max(0, a - self.longest) : a + 2 * BLOCK + self.longest])
+                # no more words can be common in order than occur at all
+                if sum(map(around.__contains__, item)) < COMMON_ANSWERED * len(item):
+                    continue
                 near = found[max(0, a - len(item)) : a + 2 * BLOCK + len(item)]
                 share = common_length(item, near) / len(item)
                 if share < COMMON_ANSWERED:
