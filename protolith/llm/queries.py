@@ -67,4 +67,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict = {"op2_chat_perspectives": chat.ORACLE}
+ORACLE_SQL: dict = {"op2_chat_perspectives": chat.ORACLE, "op3_embedding_join": embeddings.ORACLE, "op5_secrets": secrets.oracle()}

@@ -147,3 +147,31 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     touched = judged.withColumn("merged", merged).where(F.size("merged") > 0).select("uid")
     same = found.select("uid", "row").join(touched.hint("shuffle_hash"), "uid", "left_anti").select("row.*")
     return same.unionByName(changed.select(*out))
+
+
+def oracle() -> str:
+    """The same for DuckDB."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(f"SELECT uid, doc_id, owner, {k} AS kind, string_split_regex(t, {quoted(p)}) AS g, regexp_extract_all(t, {quoted(p)}) AS h FROM d" for k, p in enumerate((ASSIGN, ACCESS, HEX, MIXED)))
+    names = "['assign', 'access', 'hex', 'owned']"
+    shown = f"{names}[kind + 1] || ':' || a || ':' || b"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+m AS ({kinds}),
+f AS (SELECT uid, doc_id, owner, kind, g, h, unnest(range(1, len(h) + 1)) AS i FROM m WHERE len(h) > 0),
+p AS (SELECT uid, doc_id, owner, kind, h[i] AS hit,
+             CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM f),
+v AS (SELECT *, a + length(hit) AS b, CASE WHEN kind = 0 THEN regexp_extract(hit, {quoted(ASSIGN)}, 2) ELSE hit END AS value FROM p),
+k AS (SELECT * FROM v WHERE CASE kind WHEN 0 THEN length(value) >= 6
+        WHEN 3 THEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND len(list_distinct(string_split(hit, ''))) >= {MIXED_CHARS} ELSE true END),
+s AS (SELECT * FROM k WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM k AS o WHERE o.uid = k.uid AND o.kind < 3 AND o.a < k.b AND k.a < o.b)),
+w AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+x AS (SELECT s.*, owners, owners >= {EXAMPLE_OWNERS} AS example FROM s JOIN w ON s.value = w.value),
+r AS (SELECT uid, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+             coalesce(string_agg({shown}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3), '') AS base,
+             coalesce(string_agg({shown}, ',' ORDER BY a, kind) FILTER (WHERE kind < 3 OR NOT example), '') AS spans,
+             count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example, max(owners) AS max_owners
+      FROM x GROUP BY uid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(max_owners, 0) AS max_owners
+FROM d LEFT JOIN r ON d.uid = r.uid"""
