@@ -18,7 +18,7 @@ import re
 from array import array
 
 #: Units that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 700_000, 48
+REMEMBERED, LONGEST = 250_000, 48
 
 _CONTROL = re.compile("[\x1c-\x1f]")
 _ODD = re.compile(r"^\s|\s$|[^\S \n]| \s|\n\s")
