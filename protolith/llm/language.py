@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .quality import held_out
 
 PER_LANGUAGE, LANGUAGES, DIM = 400, 64, 2048
+#: Bytes of a text that are counted at once.
+STEP = 1 << 20
 UNKNOWN = "und"
 # Languages of each family, by ISO 639 code. Codes that are not listed are a family together.
 FAMILIES = {
@@ -42,11 +44,14 @@ _BLANK = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 def trigrams(text: str) -> np.ndarray:
     """A unit vector of damped trigram counts; bytes that are not letters count as blanks."""
     raw = b" " + b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_BLANK).split()) + b" "
-    a = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    if len(a) < 3:
-        return np.zeros(DIM, np.float32)
-    code = (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
-    v = np.sqrt(np.bincount((code * np.uint32(2654435761)) >> 21, minlength=DIM)).astype(np.float32)
+    whole, counts = np.frombuffer(raw, np.uint8), np.zeros(DIM)
+    if len(whole) < 3:
+        return counts.astype(np.float32)
+    for at in range(0, len(whole) - 2, STEP):
+        a = whole[at : at + STEP + 2].astype(np.uint32)
+        code = (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+        counts += np.bincount((code * np.uint32(2654435761)) >> 21, minlength=DIM)
+    v = np.sqrt(counts).astype(np.float32)
     return v / np.linalg.norm(v)
 
 
