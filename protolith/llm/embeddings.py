@@ -25,6 +25,8 @@ from .simhash import _union
 
 #: Vectors of one block of a cell; vectors for each pivot, and the bounds of their number.
 BLOCK, PER_PIVOT, PIVOTS = 2048, 1000, (8, 2048)
+#: Guest cells of a vector, on average, up to which more pivots are worth their copies.
+GUESTS = 8.0
 SLACK = 1e-9
 
 
@@ -50,6 +52,21 @@ def _cells(pivots: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray
     return home, [np.nonzero(g)[0].tolist() for g in guest]
 
 
+def _enough(pivots: np.ndarray, radius: float) -> np.ndarray:
+    """The largest doubling of the pivots whose boundary copies stay few on the sample itself.
+
+    Where vectors fill many dimensions evenly, cells have wide boundaries and more pivots only
+    add copies; blocks then share out the larger cells. The result is exact for any choice.
+    """
+    n = PIVOTS[0]
+    while 2 * n <= len(pivots):
+        rest = pivots[2 * n :] if len(pivots) > 2 * n else pivots
+        if np.mean([len(g) for g in _cells(pivots[: 2 * n], rest, radius)[1]]) > GUESTS:
+            break
+        n *= 2
+    return pivots[:n]
+
+
 def _join(t: pa.Table, threshold: float) -> pa.Table:
     """Counts and spanning links of one pair of blocks."""
     x = _unit(t.column("v").combine_chunks())
@@ -104,8 +121,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     chosen: dict[int, list] = {}
     for r in classes.select("v").orderBy(F.xxhash64("k1", "k2"), "uid").limit(wanted).collect():
         chosen.setdefault(len(r.v), []).append(r.v)
-    pivots = {d: _unit(pa.array(p, pa.list_(pa.float64()))) for d, p in chosen.items()}
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
+    pivots = {d: _enough(_unit(pa.array(p, pa.list_(pa.float64()))), radius) for d, p in chosen.items()}
 
     def assign(batches):
         for b in batches:
