@@ -42,7 +42,7 @@ _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 _HINT = re.compile(r"[a-z]+")
 _HEAD = re.compile(r"<body\b", re.I)
 
-Block = tuple[tuple[str, ...], str, int]  # ancestors' features, text, characters in links
+Block = tuple[tuple[str, ...], str, int, str]  # distinct features of the ancestors, text, characters in links, parent's tag
 
 
 def blocks(page: str) -> list[Block]:
@@ -57,7 +57,7 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                out.append((tuple(f for _, hints in stack for f in hints), text, linked))
+                out.append((stack[-1][1] if stack else (), text, linked, stack[-1][0] if stack else ""))
             held.clear()
         linked = 0
 
@@ -111,7 +111,9 @@ def blocks(page: str) -> list[Block]:
         if m["attrs"]:
             for found in _ATTR.findall(m["attrs"]):
                 hints += [f"c:{h}" for h in _HINT.findall("".join(found).lower())]
-        stack.append((tag, tuple(hints)))
+        chain = stack[-1][1] if stack else ()
+        new = [h for h in dict.fromkeys(hints) if h not in chain]
+        stack.append((tag, (*chain, *new) if new else chain))  # deep nesting of the same elements shares one chain
     text(at, len(page))
     flush()
     return out
@@ -126,11 +128,11 @@ CUES = frozenset("cookie cookies copyright subscribe newsletter login share twee
 
 
 def text_features(block: Block, place: int, count: int) -> list[str]:
-    chain, text, linked = block
+    _, text, linked, tag = block
     words = text.split()
     n, c = len(words), len(text)
     marks = sum(text.count(x) for x in ",.;:!?")
-    parent = next((f for f in reversed(chain) if f[:2] == "t:"), "t:")
+    parent = f"t:{tag}"
     out = [
         "bias", f"parent:{parent}", f"words:{_bucket(n, (2, 4, 8, 15, 30, 60))}", f"links:{_bucket(linked / c, (0.01, 0.3, 0.6, 0.9))}",
         f"marks:{_bucket(marks / n, (0.01, 0.05, 0.12))}", f"ends:{text[-1] if text[-1] in '.!?:…' else '-'}", f"digits:{_bucket(sum(map(str.isdigit, text)) / c, (0.05, 0.3))}",
@@ -159,7 +161,7 @@ class Field:
         if (c := self.chains.get(chain)) is None:
             if len(self.chains) > 50_000:
                 self.chains.clear()
-            c = self.chains[chain] = sum(w.get(f, 0.0) for f in dict.fromkeys(chain))
+            c = self.chains[chain] = sum(w.get(f, 0.0) for f in chain)
         return c + sum(w.get(f, 0.0) for f in text_features(block, k, n))
 
     def decode(self, found: list[Block]) -> list[int]:
@@ -276,7 +278,7 @@ def training_pages(count: int = 500, seed: int = 11) -> list[list[tuple[Block, i
         end = [noise() for _ in range(rng.choice((0, 0, 1, 1, 2)))]
         end += [pick((wrap("footer", pick((f"&copy; {words(1, 3)} &middot; {words(1, 4)}", prose(), links(), wrap("p", sentence())))), wrap("div", f"&copy; 2020 {words(1, 3)}", pick(("footer", "copyright", "bottom")))))] if rng.random() < 0.9 else []
         page = f"<html><head><title>{words(1, 5)}</title></head><body>{''.join(top)}{main}{''.join(end)}</body></html>"
-        pages.append([((b[0], b[1].replace(mark, ""), b[2]), int(mark in b[1])) for b in blocks(page) if b[1].replace(mark, "")])
+        pages.append([((b[0], b[1].replace(mark, ""), *b[2:]), int(mark in b[1])) for b in blocks(page) if b[1].replace(mark, "")])
     return pages
 
 
