@@ -263,17 +263,36 @@ def build(fields: Sequence[tuple]) -> Column:
     types = [(n, t) for n, t, _ in plan]
 
     def run(*columns: pa.Array) -> pa.Array:
+        """All fields' elements are gathered first and sorted once, by row and field."""
         rows = len(columns[0])
-        e, _ = W.parse(pa.array([b""] * rows, pa.binary()))
+        parts = []  # (rows, field number, wire type, bits, payloads)
         for (number, t), c in zip(types, columns, strict=True):
-            n = np.full(rows, number)
             if pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
-                e = O.extend(t, e, n, c, np.full(rows, t.packable))
-                continue
-            there = np.asarray(c.is_valid())
-            flat = c.filter(pa.array(there))
-            e = O.append_all(t, e, n, flat, there.astype(np.int64), np.zeros(rows, bool))
-        return W.serialise(e)
+                values, sizes = O._flat(c)
+                row = np.repeat(np.arange(rows), sizes)
+            else:
+                there = np.asarray(c.is_valid())
+                values, row, sizes = c.filter(pa.array(there)), np.flatnonzero(there), None
+            u, payload = O._encode(t, values)
+            if sizes is not None and t.packable:
+                raw, size = W.encode_values(t.wire, u)
+                per = np.bincount(row, size, rows).astype(np.int64)
+                row = np.flatnonzero(sizes > 0)
+                parts.append((row, number, LEN, np.zeros(len(row), np.uint64), W.binary(raw, (np.cumsum(per) - per)[row], per[row])))
+            else:
+                parts.append((row, number, t.wire, np.zeros(len(row), np.uint64) if u is None else u, payload))
+        length = [len(x[0]) for x in parts]
+        each = lambda k, kind: np.repeat(np.array([x[k] for x in parts], kind), length)
+        off, size, data, base = [], [], [], 0
+        for row, *_, payload in parts:
+            raw, o = W.buffers(payload) if payload is not None else (np.zeros(0, np.uint8), np.zeros(len(row) + 1, np.int64))
+            off.append(o[:-1] + base)
+            size.append(np.diff(o))
+            data.append(raw)
+            base += len(raw)
+        row = np.concatenate([x[0] for x in parts]).astype(np.int64)
+        e = W.Elements(rows, row, np.zeros(len(row), np.int64), each(1, np.int64), each(2, np.int8), np.concatenate([x[3] for x in parts]), np.concatenate(off), np.concatenate(size), np.concatenate(data))
+        return W.serialise(e.take(np.argsort(row, kind="stable")))
 
     return F.arrow_udf(_scalar(run), "binary")(*(c for _, _, c in plan))
 
