@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms of the benchmark get TF-IDF weights from document counts over the whole corpus.
-A randomised SVD, whose products run on the executors over a bounded sample of corpus
-passages and all benchmark items, gives a latent basis. Every window of every document is
-then projected and compared by cosine with every item of a block of items; candidates are
+For each ``ROWS`` items a randomised SVD, whose products run on the executors over a bounded sample of corpus
+passages, gives a latent basis with as many dimensions, which holds those items. Every window of every
+document is then projected and compared by cosine with every item; candidates are
 checked, where they are found, by the longest common subsequence of words and by
 the item's answer.
 
@@ -13,6 +13,7 @@ a count per benchmark term and the leaks themselves.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from itertools import repeat
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Items searched in one pass, latent dimensions, and sampled passages for the basis.
-ITEMS, RANK, SAMPLE = 4000, 192, 20_000
+#: Items searched in one pass, and rows of one latent space.
+ITEMS, ROWS = 4000, 256
+#: Least latent dimensions, where rows are fewer; sampled passages for the basis; least share of a row's energy in it.
+RANK, SAMPLE, KEPT = 192, 20_000, 0.8
 #: Words of a block; a window is two blocks. Documents are read in slices of so many words.
 BLOCK, SLICE = 16, 1 << 15
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
@@ -62,22 +65,17 @@ def common_length(a: list[str], b: list[str]) -> int:
 
 
 @dataclass
-class Index:
-    """Items of one block in latent space."""
+class Part:
+    """Rows of some items in a latent space of their own, which has about as many dimensions as rows."""
 
-    ids: list
-    texts: list[list[str]]
-    answers: list[list[str]]
-    vocab: dict[str, int]
+    of: list[int]  # item of each row
+    local: np.ndarray  # term of the part for each term of the index, or -1
     weight: np.ndarray
-    basis: np.ndarray  # weighted rows: one per term
-    items: np.ndarray  # (items, rank), divided by the items' lengths
-
-    def __post_init__(self):
-        self.longest = max(map(len, self.texts))
+    basis: np.ndarray  # weighted rows: one per term of the part
+    rows: np.ndarray  # (rows, rank), divided by the rows' lengths
 
     def windows(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First block of each window, and its cosines with all items."""
+        """First block of each window, and its cosines with all rows."""
         block = at // BLOCK
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         sums = np.add.reduceat(self.basis[tokens], first, axis=0)
@@ -87,7 +85,21 @@ class Index:
         both, both_mass = sums.copy(), mass.copy()
         both[next_] += sums[next_ + 1]
         both_mass[next_] += mass[next_ + 1]
-        return start, (both @ self.items.T) / np.sqrt(both_mass)[:, None]
+        return start, (both @ self.rows.T) / np.sqrt(both_mass)[:, None]
+
+
+@dataclass
+class Index:
+    """Items of one block, in parts."""
+
+    ids: list
+    texts: list[list[str]]
+    answers: list[list[str]]
+    vocab: dict[str, int]
+    parts: list[Part]
+
+    def __post_init__(self):
+        self.longest = max(map(len, self.texts))
 
     def leaks(self, text: str | None) -> list[tuple]:
         """(item, cosine, share of its words in order, whether its answer is there, first word) of each leaked item."""
@@ -95,29 +107,34 @@ class Index:
         for low in range(0, len(found), SLICE):
             part = found[low : low + SLICE + BLOCK]
             ids = np.fromiter(map(self.vocab.get, part, repeat(-1)), np.int32, len(part))
-            at = np.flatnonzero(ids >= 0)
-            if not len(at):
-                continue
-            start, cosine = self.windows(ids[at], at)
-            last, a, around = -1, 0, set()
-            for w, k in np.argwhere(cosine >= COSINE).tolist():
-                item = self.texts[k]
-                if w != last:
-                    last, a = w, low + int(start[w]) * BLOCK
-                    around = set(found[max(0, a - self.longest) : a + 2 * BLOCK + self.longest])
-                # no more words can be common in order than occur at all
-                if sum(map(around.__contains__, item)) < COMMON_ANSWERED * len(item):
-                    continue
-                near = found[max(0, a - len(item)) : a + 2 * BLOCK + len(item)]
-                share = common_length(item, near) / len(item)
-                if share < COMMON_ANSWERED:
-                    continue
-                reply = self.answers[k]
-                told = common_length(reply, near) >= 0.8 * len(reply)
-                if (share >= COMMON or told) and (k not in best or share > best[k][1]):
-                    best[k] = (float(cosine[w, k]), share, told, max(0, a - len(item)))
+            for p in self.parts:
+                own = np.where(ids >= 0, p.local[ids], -1)
+                at = np.flatnonzero(own >= 0)
+                if len(at):
+                    self._check(p, own[at], at, found, low, best)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
+    def _check(self, p: Part, tokens: np.ndarray, at: np.ndarray, found: list[str], low: int, best: dict) -> None:
+        start, cosine = p.windows(tokens, at)
+        last, a, around = -1, 0, set()
+        for w, r in np.argwhere(cosine >= COSINE).tolist():
+            k = p.of[r]
+            item = self.texts[k]
+            if w != last:
+                last, a = w, low + int(start[w]) * BLOCK
+                around = set(found[max(0, a - self.longest) : a + 2 * BLOCK + self.longest])
+            # no more words can be common in order than occur at all
+            if sum(map(around.__contains__, item)) < COMMON_ANSWERED * len(item):
+                continue
+            near = found[max(0, a - len(item)) : a + 2 * BLOCK + len(item)]
+            share = common_length(item, near) / len(item)
+            if share < COMMON_ANSWERED:
+                continue
+            reply = self.answers[k]
+            told = common_length(reply, near) >= 0.8 * len(reply)
+            if (share >= COMMON or told) and (k not in best or share > best[k][1]):
+                best[k] = (float(cosine[w, r]), share, told, max(0, a - len(item)))
+
 
 def _counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents. One row per partition and term meets in an aggregation."""
@@ -142,18 +159,26 @@ def _counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def _products(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'AQ over all passages: each partition's product, summed in two steps."""
+def _products(passages: DataFrame, local: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'AQ over the passages, of a part's terms: each partition's product, summed in two steps."""
     shape = q.shape
 
     def run(batches):
         out = np.zeros(shape)
         for b in batches:
-            for row, scale in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = np.array(row)
-                w = weight[t]
-                w = w / max(np.linalg.norm(w), 1e-12) * scale
-                np.add.at(out, t, w[:, None] * (w @ q[t]))
+            for low in range(0, b.num_rows, 1000):
+                column = b.column(0).slice(low, 1000)
+                t = local[column.flatten().to_numpy()]
+                row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[t >= 0]
+                if not len(row):
+                    continue
+                t = t[t >= 0]
+                w = weight[t] / np.sqrt(np.bincount(row, weight[t] ** 2))[row]
+                first = np.r_[True, row[1:] != row[:-1]]
+                seen = np.add.reduceat(w[:, None] * q[t], np.flatnonzero(first), axis=0)
+                order = np.argsort(t, kind="stable")
+                new = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
+                out[t[order][new]] += np.add.reduceat((w[:, None] * seen[np.cumsum(first) - 1])[order], new, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["p"])
 
     def add(batches):
@@ -169,9 +194,8 @@ def _products(passages: DataFrame, weight: np.ndarray, q: np.ndarray) -> np.ndar
     return total
 
 
-def _basis(docs: DataFrame, texts: list[list[str]], vocab: dict[str, int], weight: np.ndarray, total: int, rank: int) -> np.ndarray:
-    """Leading right singular vectors of the weighted passages, by two rounds of subspace iteration."""
-    spark = docs.sparkSession
+def _sample(docs: DataFrame, vocab: dict[str, int], total: int) -> DataFrame:
+    """At most ``SAMPLE`` passages of the corpus, as terms."""
     share = min(1.0, SAMPLE / 20 / max(1, total))
     drawn = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
@@ -183,18 +207,40 @@ def _basis(docs: DataFrame, texts: list[list[str]], vocab: dict[str, int], weigh
                 for a in range(0, len(found), 2 * BLOCK):
                     if row := [vocab[w] for w in found[a : a + 2 * BLOCK] if w in vocab]:
                         out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), pa.array([1.0] * len(out))], names=["row", "scale"])
-
-    # items count as often as the sample, so the basis spans them
-    own = [([vocab[w] for w in t if w in vocab], 10.0) for t in texts]
-    mine = spark.createDataFrame([x for x in own if x[0]], "row array<int>, scale double").coalesce(1)
-    sample = written(drawn.mapInArrow(passages, "row array<int>, scale double").limit(SAMPLE).unionByName(mine).repartition(8), "passages")
-    rank = min(rank, len(vocab))
-    q = np.linalg.qr(np.random.RandomState(5).standard_normal((len(vocab), min(len(vocab), rank + 8))))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["row"])
+
+    return written(drawn.mapInArrow(passages, "row array<int>").limit(SAMPLE).repartition(8), "passages")
+
+
+def _basis(sample: DataFrame, local: np.ndarray, weight: np.ndarray, own: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the weighted passages and of ``own``, the part's rows of length one, by two rounds of subspace iteration.
+
+    Of a row whose energy is not kept in them, what is missing becomes a direction too: at least ``KEPT`` of
+    each row's is in the basis, however many there are, so an exact copy keeps as much of its cosine.
+    """
+    # rows of the part count as often as the sample, so the basis spans them
+    product = lambda q: _products(sample, local, weight, q) + 100.0 * (own.T @ (own @ q))
+    q = np.linalg.qr(np.random.RandomState(5).standard_normal((len(weight), min(len(weight), rank + 8))))[0]
     for _ in range(2):
-        q = np.linalg.qr(_products(sample, weight, q))[0]
-    values, vectors = np.linalg.eigh(q.T @ _products(sample, weight, q))
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+        q = np.linalg.qr(product(q))[0]
+    values, vectors = np.linalg.eigh(q.T @ product(q))
+    basis = q @ vectors[:, np.argsort(-values)[:rank]]
+    missing = own - own @ basis @ basis.T
+    _, size, more = np.linalg.svd(missing[(missing**2).sum(1) > 1 - KEPT], full_matrices=False)
+    return np.c_[basis, more[size > 1e-6].T]
+
+
+def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages: list[tuple[int, list[str]]], rank: int) -> Part:
+    terms = sorted({vocab[w] for _, t in passages for w in t if w in vocab})
+    local = np.full(len(vocab), -1, np.int32)
+    local[terms] = np.arange(len(terms))
+    own, weight = np.zeros((len(passages), len(terms))), weight[terms]
+    for k, (_, t) in enumerate(passages):
+        np.add.at(own[k], at := local[[vocab[w] for w in t if w in vocab]], weight[at])
+        own[k] /= np.sqrt((weight[at] ** 2).sum())
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    basis = _basis(sample, local, weight, unit, min(max(rank, len(passages)), len(terms)))
+    return Part([k for k, _ in passages], local, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), (own @ basis).astype(np.float32))
 
 
 def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index | None:
@@ -207,17 +253,14 @@ def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index
     held, total = _counts(docs, vocab)
     weight = np.where(held <= max(STOP * total, 5), np.log((total + 1) / (held + 0.5)) + 1, 0.0)
     terms = [w for w, k in vocab.items() if weight[k] > 0]
-    weight = weight[[vocab[w] for w in terms]].astype(np.float32)
+    weight = weight[[vocab[w] for w in terms]]
     vocab = {w: k for k, w in enumerate(terms)}
-    if not vocab:
+    passages = [(k, t) for k, t in enumerate(texts) if any(w in vocab for w in t)]
+    if not passages:
         return None
-    basis = _basis(docs, texts, vocab, weight, total, rank) * weight[:, None]
-    rows = np.zeros((len(texts), basis.shape[1]), np.float32)
-    for k, t in enumerate(texts):
-        own = [vocab[w] for w in t if w in vocab]
-        if own:
-            rows[k] = basis[own].sum(0) / np.sqrt((weight[own] ** 2).sum())
-    return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, weight, basis, rows)
+    sample = _sample(docs, vocab, total)
+    parts = [_part(sample, vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
+    return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, parts)
 
 
 SCHEMA = "doc_id long, item_id long, cosine double, common double, answer_found boolean, start_word long"

@@ -58,3 +58,26 @@ def test_edges(spark):
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
     assert sorted(r.doc_id or 0 for r in D.without_leaks(df, bench).collect()) == [0, 1, 2, 5]
     assert D.without_leaks(df, bench).columns == df.columns
+
+
+def drawn_items(spark, count, size, salt=0):
+    """Runs of ``size`` words of the documents, each from another place, as items; and foreign words around them."""
+    pool = [w for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(6000).collect() for w in D.words(r.text)]
+    rng = random.Random(size + salt)
+    starts = rng.sample(range(0, len(pool) // 2 - size, max(1, size // 2)), count)
+    return [(k, " ".join(pool[a : a + size])) for k, a in enumerate(starts)], pool[len(pool) // 2 :], rng
+
+
+def copies_found(index, items, foreign, rng):
+    hit = 0
+    for k, text in items:
+        at = rng.randrange(len(foreign) - 500)
+        hit += any(x[0] == k for x in index.leaks(" ".join([*foreign[at : at + 203], text, *foreign[at + 203 : at + 400]])))
+    return hit
+
+
+def test_exact_copies_are_found_among_a_thousand_items(spark):
+    items, foreign, rng = drawn_items(spark, 1000, 38)
+    index = D.build_index(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text AS t"), items)
+    some = items[::2]
+    assert copies_found(index, some, foreign, rng) >= 0.99 * len(some)
