@@ -33,8 +33,6 @@ RANK, SAMPLE, KEPT = 192, 20_000, 0.8
 BLOCK, SLICE = 16, 1 << 15
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
 COSINE, COMMON, COMMON_ANSWERED = 0.25, 0.6, 0.5
-#: Terms in more than this share of the documents weigh nothing.
-STOP = 0.35
 _WORD = re.compile(r"\w+")
 
 
@@ -231,12 +229,12 @@ def _basis(sample: DataFrame, local: np.ndarray, weight: np.ndarray, own: np.nda
 
 
 def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages: list[tuple[int, list[str]]], rank: int) -> Part:
-    terms = sorted({vocab[w] for _, t in passages for w in t if w in vocab})
+    terms = sorted({vocab[w] for _, t in passages for w in t})
     local = np.full(len(vocab), -1, np.int32)
     local[terms] = np.arange(len(terms))
     own, weight = np.zeros((len(passages), len(terms))), weight[terms]
     for k, (_, t) in enumerate(passages):
-        np.add.at(own[k], at := local[[vocab[w] for w in t if w in vocab]], weight[at])
+        np.add.at(own[k], at := local[[vocab[w] for w in t]], weight[at])
         own[k] /= np.sqrt((weight[at] ** 2).sum())
     unit = own / np.linalg.norm(own, axis=1, keepdims=True)
     basis = _basis(sample, local, weight, unit, min(max(rank, len(passages)), len(terms)))
@@ -244,20 +242,16 @@ def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages
 
 
 def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index | None:
-    """An index of (id, text) items; ``docs`` has the text in column ``t``. None if no item has a weighted term."""
+    """An index of (id, text) items; ``docs`` has the text in column ``t``. None if no item has a word."""
     items = [(k, t) for k, t in items if words(t)]
     texts = [words(t) for _, t in items]
     vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
     if not vocab:
         return None
     held, total = _counts(docs, vocab)
-    weight = np.where(held <= max(STOP * total, 5), np.log((total + 1) / (held + 0.5)) + 1, 0.0)
-    terms = [w for w, k in vocab.items() if weight[k] > 0]
-    weight = weight[[vocab[w] for w in terms]]
-    vocab = {w: k for k, w in enumerate(terms)}
-    passages = [(k, t) for k, t in enumerate(texts) if any(w in vocab for w in t)]
-    if not passages:
-        return None
+    # every term weighs something: copies of an item may be so many that all its words are frequent
+    weight = np.log((total + 1) / (held + 0.5)) + 1
+    passages = list(enumerate(texts))
     sample = _sample(docs, vocab, total)
     parts = [_part(sample, vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
     return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, parts)

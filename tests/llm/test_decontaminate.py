@@ -81,3 +81,12 @@ def test_exact_copies_are_found_among_a_thousand_items(spark):
     index = D.build_index(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text AS t"), items)
     some = items[::2]
     assert copies_found(index, some, foreign, rng) >= 0.99 * len(some)
+
+
+def test_items_copied_into_most_documents_are_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.orderBy("item_id").first()
+    copies = spark.createDataFrame([(-k, item.text) for k in range(1, 501)], "doc_id long, text string")
+    got = {r.doc_id for r in D.find_leaks(docs.unionByName(copies), bench).where(f"item_id = {item.item_id} AND doc_id < 0").collect()}
+    assert len(got) == 500
