@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms of the benchmark get TF-IDF weights from document counts over the whole corpus.
-For each ``ROWS`` items a randomised SVD, whose products run on the executors over a bounded sample of corpus
-passages, gives a latent basis with as many dimensions, which holds those items. Every window of every
-document is then projected and compared by cosine with every item; candidates are
+Items are cut into passages of about a window. For each ``ROWS`` passages a randomised SVD, whose products run on the executors over a bounded sample of corpus
+passages, gives a latent basis with as many dimensions, which holds those passages. Every window of every
+document is then projected and compared by cosine with every passage; candidates are
 checked, where they are found, by the longest common subsequence of words and by
 the item's answer.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Items searched in one pass, and rows of one latent space.
+#: Passages of items searched in one pass, and rows of one latent space.
 ITEMS, ROWS = 4000, 256
 #: Least latent dimensions, where rows are fewer; sampled passages for the basis; least share of a row's energy in it.
 RANK, SAMPLE, KEPT = 192, 20_000, 0.8
@@ -49,6 +49,13 @@ def answer(text: str | None) -> list[str]:
     return parts[-1] if parts else words(text)
 
 
+def pieces(item: list[str]) -> list[list[str]]:
+    """An item in passages of about a window, each of which makes the item a candidate."""
+    count = max(1, round(len(item) / (2 * BLOCK)))
+    edges = [k * len(item) // count for k in range(count + 1)]
+    return [item[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def common_length(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     full, masks = (1 << len(a)) - 1, {}
@@ -66,7 +73,7 @@ def common_length(a: list[str], b: list[str]) -> int:
 class Part:
     """Rows of some items in a latent space of their own, which has about as many dimensions as rows."""
 
-    of: list[int]  # item of each row
+    of: list[int]  # item of each row, which is a passage of it
     local: np.ndarray  # term of the part for each term of the index, or -1
     weight: np.ndarray
     basis: np.ndarray  # weighted rows: one per term of the part
@@ -117,6 +124,8 @@ class Index:
         last, a, around = -1, 0, set()
         for w, r in np.argwhere(cosine >= COSINE).tolist():
             k = p.of[r]
+            if k in best and best[k][1] == 1:
+                continue
             item = self.texts[k]
             if w != last:
                 last, a = w, low + int(start[w]) * BLOCK
@@ -251,7 +260,7 @@ def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index
     held, total = _counts(docs, vocab)
     # every term weighs something: copies of an item may be so many that all its words are frequent
     weight = np.log((total + 1) / (held + 0.5)) + 1
-    passages = list(enumerate(texts))
+    passages = [(k, p) for k, t in enumerate(texts) for p in pieces(t)]
     sample = _sample(docs, vocab, total)
     parts = [_part(sample, vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
     return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, parts)
@@ -268,11 +277,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A leak has ``common`` >= 0.6, or >= 0.5 with the answer there.
 
     Null and empty texts hold nothing and match nothing; repeated rows are reported each; a
-    null id is passed on. The items are searched in blocks of ``ITEMS``. Without documents or items the
+    null id is passed on. The items are searched in blocks of about ``ITEMS`` passages. Without documents or items the
     result is empty. Other columns are not read.
     """
     text = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     result, block = docs.sparkSession.createDataFrame([], SCHEMA), []
+    held = 0
 
     def search(items: list[tuple]) -> None:
         nonlocal result
@@ -289,9 +299,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).orderBy(item_col, item_text_col).toLocalIterator():
         block.append((r[0], r[1]))
-        if len(block) == ITEMS:
+        held += len(pieces(words(r[1])))
+        if held >= ITEMS:
             search(block)
-            block = []
+            block, held = [], 0
     if block:
         search(block)
     return result

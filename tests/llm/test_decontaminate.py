@@ -90,3 +90,11 @@ def test_items_copied_into_most_documents_are_found(spark):
     copies = spark.createDataFrame([(-k, item.text) for k in range(1, 501)], "doc_id long, text string")
     got = {r.doc_id for r in D.find_leaks(docs.unionByName(copies), bench).where(f"item_id = {item.item_id} AND doc_id < 0").collect()}
     assert len(got) == 500
+
+
+def test_long_items_are_found(spark):
+    """Words that do not repeat: one window holds little of the whole item."""
+    _, foreign, rng = drawn_items(spark, 1, 38)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(size))) for k, size in enumerate((1000, 1000, 2000, 2000))]
+    index = D.build_index(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text AS t"), items)
+    assert copies_found(index, items, foreign, rng) == len(items)
