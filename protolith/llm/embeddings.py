@@ -28,6 +28,8 @@ BLOCK, PER_PIVOT, PIVOTS = 2048, 1000, (8, 2048)
 #: Guest cells of a vector, on average, up to which more pivots are worth their copies.
 GUESTS = 8.0
 SLACK = 1e-9
+#: Least distance between pivots, so that rounding in (..) / (2 |p-q|) stays under the slack.
+APART = 1e-3
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -48,10 +50,20 @@ def _cells(pivots: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray
     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
     with np.errstate(divide="ignore", invalid="ignore"):
         over = (near - near[np.arange(len(x)), home][:, None]) / (2 * apart)
-    guest = (over <= radius + SLACK) & (apart > 1e-6)
+    guest = over <= radius + SLACK
+    guest[np.arange(len(x)), home] = False
     return home, [np.nonzero(g)[0].tolist() for g in guest]
 
 
+def _distinct(pivots: np.ndarray) -> np.ndarray:
+    """The pivots without those that nearly equal an earlier one: multiples of one vector are distinct classes of one direction."""
+    kept: list[int] = []
+    for k, p in enumerate(pivots):
+        if not kept or (pivots[kept] @ p).max() < 1 - APART**2 / 2:
+            kept.append(k)
+    return pivots[kept]
+
+
 def _enough(pivots: np.ndarray, radius: float) -> np.ndarray:
     """The largest doubling of the pivots whose boundary copies stay few on the sample itself.
 
@@ -122,7 +134,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     for r in classes.select("v").orderBy(F.xxhash64("k1", "k2"), "uid").limit(wanted).collect():
         chosen.setdefault(len(r.v), []).append(r.v)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
-    pivots = {d: _enough(_unit(pa.array(p, pa.list_(pa.float64()))), radius) for d, p in chosen.items()}
+    pivots = {d: _enough(_distinct(_unit(pa.array(p, pa.list_(pa.float64())))), radius) for d, p in chosen.items()}
 
     def assign(batches):
         for b in batches:

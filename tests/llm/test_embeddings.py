@@ -54,3 +54,11 @@ def test_whole_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in queries.op3_embedding_join(spark, sf).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_multiples_of_one_vector_all_link(spark):
+    rng = np.random.RandomState(4)
+    one = rng.randn(64)
+    rows = [(k, (one * f).astype(np.float32).tolist(), 0) for k, f in enumerate(rng.uniform(0.1, 9, 300))]
+    got = M.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(299, 0)] * 300
