@@ -26,21 +26,23 @@ from pyspark.sql import functions as F
 # Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
-HIDDEN = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|audio|video|math|head"
+HIDDEN = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|audio|video|math|title"
+CLOSABLE = "svg|math|iframe|object|canvas|audio|video"
+IN_HEAD = frozenset("base link meta".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _SAME = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SAME.items()}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    rf"|<(?P<raw>{HIDDEN})\b[^>]*>.*?(?:</(?P=raw)\s*>|$)"
+    rf"|<(?P<empty>{CLOSABLE})(?=[\s/>])[^>]*/>"
+    rf"|<(?P<raw>{HIDDEN})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<[a-zA-Z/!?][^>]*(?:>|$)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HINT = re.compile(r"[a-z]+")
-_HEAD = re.compile(r"<body\b", re.I)
 
 Block = tuple[tuple[str, ...], str, int, str]  # distinct features of the ancestors, text, characters in links, parent's tag
 
@@ -73,7 +75,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 held.append(" ")
             continue
         tag = tag.lower()
@@ -95,6 +97,8 @@ def blocks(page: str) -> list[Block]:
             in_link = 1 if tag == "a" else in_link
             continue
         flush()
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:  # its end tag is optional
+            stack.pop()
         if tag in CLOSES_P and stack and stack[-1][0] == "p":
             stack.pop()
         elif tag in _SAME:

@@ -100,3 +100,13 @@ def test_pages_table(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert [(r.page_id, r.url) for r in H.extract_text(df).collect()] == [(None, None), (1, "u")]
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+def test_head_without_end_tag_and_self_closed_elements():
+    said = lambda page: [b[1] for b in H.blocks(page)]
+    assert said("<html><head><title>x</title><body><article><p>Long story here.</p></article>") == ["Long story here."]
+    assert said("<head><meta charset=utf-8><script>'<p>no</p>'</script><p>Story.") == ["Story."]
+    for tag in ("svg", "math", "iframe", "object", "canvas", "audio", "video"):
+        assert said(f'<p>One <{tag} class="i"/> two.</p><p>Three.</p>') == ["One two.", "Three."], tag
+        assert said(f"<p>One <{tag}>no</{tag}> two.</p><{tag}-box>Three.</{tag}-box>") == ["One two.", "Three."], tag
+    assert "t:head" not in H.blocks("<head><title>x</title><body><p>y")[0][0]
