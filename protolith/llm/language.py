@@ -5,7 +5,7 @@ one machine for each pair of languages votes. The features are letter
 trigrams of the whole text, hashed over its lower-cased UTF-8 bytes with numpy.
 
 The machines are fitted on the driver from a bounded sample: ``PER_LANGUAGE``
-documents of each of at most ``LANGUAGES`` languages, each as a whole and as
+documents of every language, each as a whole and as
 two short pieces, so that short texts are known as well.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .quality import held_out
 
-PER_LANGUAGE, LANGUAGES, DIM = 400, 64, 2048
+PER_LANGUAGE, DIM = 400, 2048
 #: Bytes of a text that are counted at once.
 STEP = 1 << 20
 UNKNOWN = "und"
@@ -147,11 +147,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit from texts with a language outside the held-out fold.
 
     About ``per_language`` documents of each language are taken by a hash of the id, at most
-    twice as many; of more than ``LANGUAGES`` languages the most frequent are learned.
+    twice as many; every language is learned.
     """
     cols = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     usable = cols.where(~held_out("d", folds, fold) & F.col("l").isNotNull() & (F.col("l") != UNKNOWN) & F.col("t").isNotNull())
-    counts = usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES).collect()
+    counts = usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").collect()
     if not counts:
         return Model([], np.zeros((0, DIM + 1)), [])
     share = F.create_map(*(F.lit(v) for r in counts for v in (r.l, min(1.0, 1.5 * per_language / r.n))))

@@ -110,3 +110,11 @@ def test_head_without_end_tag_and_self_closed_elements():
         assert said(f'<p>One <{tag} class="i"/> two.</p><p>Three.</p>') == ["One two.", "Three."], tag
         assert said(f"<p>One <{tag}>no</{tag}> two.</p><{tag}-box>Three.</{tag}-box>") == ["One two.", "Three."], tag
     assert "t:head" not in H.blocks("<head><title>x</title><body><p>y")[0][0]
+
+
+def test_every_language_is_learned(spark):
+    codes = [c for f in L.FAMILIES.values() for c in f.split()]
+    codes += [f"q{k:02}" for k in range(70 - len(codes))]
+    rows = [(20 * k + n, f"{c}{c} word{c}a text{c} " * 5, c) for k, c in enumerate(codes) for n in range(20)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(c for _, m in model.families for c in m) == sorted(codes) and len(codes) == 70
