@@ -15,6 +15,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
+from collections.abc import Container, Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,10 +49,15 @@ _HINT = re.compile(r"[a-z]+")
 Block = tuple[tuple[str, ...], str, int, str]  # distinct features of the ancestors, text, characters in links, parent's tag
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order; scripts, styles, comments and other hidden elements have none."""
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order; scripts, styles, comments and other hidden elements have none.
+
+    ``known`` limits the features of ancestors to those that a field knows, so that chains stay short
+    however deep a page nests distinct elements. Open elements are found by name, never by a walk of the stack.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name is open
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -70,6 +77,13 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += b - a
 
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+
+    def deepest(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     for m in _TOKEN.finditer(page):
         text(at, m.start())
         at = m.end()
@@ -85,9 +99,8 @@ def blocks(page: str) -> list[Block]:
             if tag in INLINE:
                 continue
             flush()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if places.get(tag):
+                close(places[tag][-1])
                 in_link = 0
             continue
         if tag == "br":
@@ -98,17 +111,13 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:  # its end tag is optional
-            stack.pop()
+            close(len(stack) - 1)
         if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            close(len(stack) - 1)
         elif tag in _SAME:
             mine, fence = _SAME[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in fence:
-                    break
-                if stack[k][0] in mine:
-                    del stack[k:]
-                    break
+            if (at_mine := deepest(mine)) > deepest(fence):
+                close(at_mine)
         if tag in VOID or m["attrs"].endswith("/") and tag in VOID:
             continue
         hints = [f"t:{tag}"]
@@ -116,7 +125,8 @@ def blocks(page: str) -> list[Block]:
             for found in _ATTR.findall(m["attrs"]):
                 hints += [f"c:{h}" for h in _HINT.findall("".join(found).lower())]
         chain = stack[-1][1] if stack else ()
-        new = [h for h in dict.fromkeys(hints) if h not in chain]
+        new = [h for h in dict.fromkeys(hints) if (known is None or h in known) and h not in chain]
+        places[tag].append(len(stack))
         stack.append((tag, (*chain, *new) if new else chain))  # deep nesting of the same elements shares one chain
     text(at, len(page))
     flush()
@@ -131,21 +141,19 @@ def _bucket(x: float, edges: tuple) -> int:
 CUES = frozenset("cookie cookies copyright subscribe newsletter login share tweet advert advertisement sponsored reply comments comment menu search privacy terms rights reserved accept password".split())
 
 
-def text_features(block: Block, place: int, count: int) -> list[str]:
+def text_features(block: Block) -> list[str]:
+    """Features of the whole text of a block, whatever its length."""
     _, text, linked, tag = block
     words = text.split()
     n, c = len(words), len(text)
     marks = sum(text.count(x) for x in ",.;:!?")
+    cues = sum(w.strip(".,:!?()").lower() in CUES for w in words)
     parent = f"t:{tag}"
     out = [
         "bias", f"parent:{parent}", f"words:{_bucket(n, (2, 4, 8, 15, 30, 60))}", f"links:{_bucket(linked / c, (0.01, 0.3, 0.6, 0.9))}",
         f"marks:{_bucket(marks / n, (0.01, 0.05, 0.12))}", f"ends:{text[-1] if text[-1] in '.!?:…' else '-'}", f"digits:{_bucket(sum(map(str.isdigit, text)) / c, (0.05, 0.3))}",
-        f"place:{min(3, 4 * place // max(1, count))}", f"parent-words:{parent}:{_bucket(n, (4, 15))}",
+        f"parent-words:{parent}:{_bucket(n, (4, 15))}", f"cues:{_bucket(cues / n, (0.001, 0.04, 0.09, 0.16, 0.3))}", f"sign:{'©' in text}",
     ]
-    if "©" in text[:200]:
-        out.append("sign:©")
-    if n <= 40:
-        out += sorted({f"cue:{w}" for w in (x.strip(".,:!?()").lower() for x in words) if w in CUES})
     return out
 
 
@@ -160,22 +168,22 @@ class Field:
     def __post_init__(self):
         self.chains: dict[tuple, float] = {}
 
-    def _score(self, block: Block, k: int, n: int) -> float:
+    def _score(self, block: Block) -> float:
         chain, w = block[0], self.weights
         if (c := self.chains.get(chain)) is None:
             if len(self.chains) > 50_000:
                 self.chains.clear()
             c = self.chains[chain] = sum(w.get(f, 0.0) for f in chain)
-        return c + sum(w.get(f, 0.0) for f in text_features(block, k, n))
+        return c + sum(w.get(f, 0.0) for f in text_features(block))
 
     def decode(self, found: list[Block]) -> list[int]:
         """The most likely labels (Viterbi)."""
         if not found:
             return []
         (a, b), ((aa, ab), (ba, bb)) = self.start.tolist(), self.move.tolist()
-        back, n = [], len(found)
+        back = []
         for k, block in enumerate(found):
-            s = self._score(block, k, n)
+            s = self._score(block)
             if k == 0:
                 x, y = a, b + s
                 continue
@@ -188,11 +196,11 @@ class Field:
         return label[::-1]
 
     def extract(self, page: str | None) -> str:
-        found = blocks(page or "")
+        found = blocks(page or "", self.weights)
         return " ".join(b[1] for b, keep in zip(found, self.decode(found), strict=True) if keep)
 
 
-def training_pages(count: int = 500, seed: int = 11) -> list[list[tuple[Block, int]]]:
+def training_pages(count: int = 700, seed: int = 11) -> list[list[tuple[Block, int]]]:
     """Labelled pages from a page grammar. Content is marked by a private-use character that is taken out again."""
     rng = random.Random(seed)
     mark, syllables = "", "ba de ki lo mu ne pra sti tor val en ou ch ier sch und tion ado mente".split()
@@ -215,30 +223,38 @@ def training_pages(count: int = 500, seed: int = 11) -> list[list[tuple[Block, i
         return pick((wrap("ul", "".join(wrap("li", x) for x in items)), " | ".join(items), "".join(wrap("span", x) for x in items), "".join(wrap("div", x) for x in items)))
 
     def inside(body: str) -> str:
-        if rng.random() < 0.3:
+        if rng.random() < 0.4:
             return body
-        return pick((wrap("b", body), f"<p>{body}", body + "<br>", f"<b>{body}", wrap("span", body), body + " " + link(1, 2) + " " + words(1, 5)))
+        return pick((wrap("b", body), f"<p>{body}", body + "<br>", f"<b>{body}", wrap("span", body), body + " " + link(1, 2) + " " + words(1, 5), "See " + link(3, 8) + ", " + body))
+
+    def paragraph(tag: str = "p") -> str:
+        return wrap(tag, inside(mark + prose())) if rng.random() < 0.85 or tag != "p" else f"<p>{mark}{prose()}"
+
+    def cells(tag: str) -> str:
+        return wrap("tr", "".join(wrap(tag, mark + pick((words(1, 4), str(rng.randint(1, 3000))))) for _ in range(3)))
 
-    def content(label: str = mark) -> str:
-        kind, m = rng.random(), label
-        if kind < 0.62:
-            return wrap("p", inside(m + prose())) if rng.random() < 0.85 else f"<p>{m}{prose()}"
+    def content(tag: str = "p") -> str:
+        kind, m = rng.random(), mark
+        if kind < 0.64:
+            return paragraph(tag)
         if kind < 0.74:
-            return wrap(pick(("h2", "h3", "h4")), m + sentence(1, 6))
-        if kind < 0.82:
-            return wrap(pick(("ul", "ol")), "".join(wrap("li", m + sentence()) for _ in range(rng.randint(2, 5))))
-        if kind < 0.88:
+            return wrap(pick(("h2", "h3", "h4")), m + pick((words(1, 3), sentence(1, 6))))
+        if kind < 0.81:
+            return wrap(pick(("ul", "ol")), "".join(wrap("li", m + pick((words(1, 5), sentence(), prose()))) for _ in range(rng.randint(2, 5))))
+        if kind < 0.84:
+            return wrap("dl", "".join(wrap("dt", m + words(1, 3)) + wrap("dd", m + prose()) for _ in range(rng.randint(1, 3))))
+        if kind < 0.89:
             return wrap("blockquote", wrap("p", m + prose()) if rng.random() < 0.6 else m + prose())
         if kind < 0.92:
-            return wrap("pre", m + prose())
+            return wrap("pre", m + pick((prose(), f"{word()} = 1; {word()} = 2")))
         if kind < 0.96:
-            return wrap("table", "".join(wrap("tr", "".join(wrap("td", m + words(1, 4)) for _ in range(3))) for _ in range(2)))
-        return wrap("figure", wrap("figcaption", m + sentence()))
+            return wrap("table", (cells("th") if rng.random() < 0.4 else "") + "".join(cells("td") for _ in range(2)))
+        return wrap("figure", "<img src=x>" + wrap("figcaption", m + sentence()))
 
     def noise() -> str:
-        kind = rng.randint(0, 9)
+        kind = pick((0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9))
         if kind == 0:
-            return wrap("div", pick((prose(), wrap("p", prose()), link(2, 6))), pick(("ad", "ads", "advert", "ad-banner", "sponsored", "promo", "advertisement", "banner")))
+            return wrap("div", pick((prose(), wrap("p", prose()), link(2, 6))), pick(("ad", "ad", "ads", "advert", "ad-banner", "ad-slot", "sponsored", "promo", "advertisement", "banner")))
         if kind == 1:
             return pick((wrap("aside", pick((links(), wrap("p", prose()), wrap("h3", words(1, 3)) + links()))), wrap("div", wrap("h3", words(1, 3)) + pick((links(), wrap("p", prose()))), pick(("sidebar", "side", "widget", "related", "recommended", "trending")))))
         if kind == 2:
@@ -246,7 +262,8 @@ def training_pages(count: int = 500, seed: int = 11) -> list[list[tuple[Block, i
         if kind == 3:
             n = rng.randint(1, 5)
             body = "".join(wrap(pick(("div", "li", "article")), wrap("p", prose()) + wrap("span", words(1, 3)), pick(("comment", "comment-body", "reply"))) for _ in range(n))
-            return pick((wrap("section", wrap("h3", pick(("Comments", words(1, 2)))) + body, pick(("comments", "discussion", "responses"))), wrap("div", body, pick(("comments", "comment-list", "disqus-comments"))), f'<div id="comments">{body}</div>'))
+            said = wrap(pick(("h2", "h3")), pick(("Comments", f"{n} comments", words(1, 2))))
+            return pick((f'<section id="comments">{said}{body}</section>', wrap("section", wrap("h3", pick(("Comments", words(1, 2), sentence(2, 5)))) + body, pick(("comments", "discussion", "responses"))), wrap("div", body, pick(("comments", "comment-list", "disqus-comments"))), f'<div id="comments">{body}</div>'))
         if kind == 4:
             return wrap("div", pick((wrap("p", sentence() + " cookies " + words(2, 6)), prose()) + (wrap("button", "Accept"),)), pick(("cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "popup", "modal")))
         if kind == 5:
@@ -259,29 +276,52 @@ def training_pages(count: int = 500, seed: int = 11) -> list[list[tuple[Block, i
             return wrap("div", prose(), pick(("disclaimer", "legal", "subscribe", "newsletter-signup", "paywall", "meta", "byline")))
         return f"<!-- {words(1, 3)} -->"
 
-    pages = []
-    for _ in range(count):
-        body = [wrap("h1", inside(mark + sentence(2, 8)))] if rng.random() < 0.85 else []
-        for _ in range(rng.choice((1, 2, 3, 5, 8, 14))):
-            body.append(content())
-            if rng.random() < 0.08:
+    def story() -> str:
+        """The article's own blocks; some are bare text or lie in plain ``div`` elements."""
+        kind, short = rng.random(), rng.random() < 0.3
+        size = 1 if short else rng.choice((1, 2, 3, 5, 8, 14))
+        title = [wrap(pick(("h1", "h1", "h2")), inside(mark + pick((words(2, 6), sentence(2, 8)))))] if rng.random() < (0.3 if short else 0.75) else []
+        if kind < 0.1:
+            return "".join(title) + pick(("<br>", "<br><br>")).join(mark + prose() for _ in range(size))
+        body = title + [mark + prose()] * (rng.random() < 0.1)
+        tag = "div" if kind < 0.22 else "p"
+        for _ in range(size):
+            body.append(content(tag))
+            if rng.random() < 0.15:
                 body.append(noise())
-        main = "".join(body)
+        return "".join(body)
+
+    def framed(main: str) -> str:
         kind = rng.random()
-        if kind < 0.45:
-            main = wrap("article", main, pick(("", "post", "entry")))
-        elif kind < 0.6:
-            main = wrap("main", wrap("article", main) if rng.random() < 0.5 else main)
-        else:
-            main = wrap(pick(("div", "section")), main, pick(("content", "post", "entry-content", "article", "article-body", "story", "main-content", "post-body text", "page")))
-            if rng.random() < 0.2:
-                main = f'<div id="{pick(("content", "main", "page", "wrapper"))}">{main}</div>'
-        top = [wrap("header", pick((link(), wrap("h1", words(1, 3)), wrap("p", sentence()) + links())))] if rng.random() < 0.4 else []
-        top += [wrap(pick(("nav", "nav", "div")), links(), pick(("", "menu", "navbar", "nav", "navigation", "topbar")) or "menu")] if rng.random() < 0.35 else [wrap("nav", links())] if rng.random() < 0.8 else []
-        top += [noise() for _ in range(rng.choice((0, 1, 1, 2)))]
-        end = [noise() for _ in range(rng.choice((0, 0, 1, 1, 2)))]
-        end += [pick((wrap("footer", pick((f"&copy; {words(1, 3)} &middot; {words(1, 4)}", prose(), links(), wrap("p", sentence())))), wrap("div", f"&copy; 2020 {words(1, 3)}", pick(("footer", "copyright", "bottom")))))] if rng.random() < 0.9 else []
-        page = f"<html><head><title>{words(1, 5)}</title></head><body>{''.join(top)}{main}{''.join(end)}</body></html>"
+        if kind < 0.35:
+            return wrap("article", main, pick(("", "", "post", "entry")))
+        if kind < 0.5:
+            return wrap("main", pick((main, wrap("article", main), wrap("article", main) + noise(), main + noise())))
+        if kind < 0.75:
+            main = wrap(pick(("div", "section")), main, pick(("content", "post", "entry-content", "article", "article-body", "story", "main-content", "post-body text", "page", "text", "main", "body")))
+            return f'<div {pick(("id", "role"))}="{pick(("content", "main", "page", "wrapper"))}">{main}</div>' if rng.random() < 0.3 else main
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+            main = wrap(pick(("div", "div", "section")), main, pick(("", word())))
+        return main
+
+    pages = []
+    for _ in range(count):
+        main = framed(story())
+        bare = rng.random() < 0.3  # nothing but the article, or little else
+        top = [wrap("header", pick((link(), wrap("h1", words(1, 3)), wrap("p", sentence()) + links())))] if not bare and rng.random() < 0.4 else []
+        if not bare and rng.random() < 0.4:
+            top.append(wrap(pick(("nav", "div", "td")), links(), pick(("", "menu", "navbar", "nav", "navigation", "topbar", "header")) or "menu"))
+        elif not bare and rng.random() < 0.8:
+            top.append(pick((wrap("nav", links()), f'<div {pick(("id", "role"))}="{pick(("nav", "menu", "navigation", "header"))}">{links()}</div>')))
+        top += [noise() for _ in range(rng.choice((0, 0, 1) if bare else (0, 1, 1, 2)))]
+        end = [noise() for _ in range(rng.choice((0, 0, 1) if bare else (0, 0, 1, 1, 2)))]
+        foot = pick((f"&copy; {words(1, 3)} &middot; {words(1, 4)}", prose(), links(), wrap("p", sentence()), f"{sentence()} &copy; {words(1, 2)}"))
+        if rng.random() < (0.3 if bare else 0.9):
+            end += [pick((wrap("footer", foot), wrap("div", f"&copy; 2020 {words(1, 3)}", pick(("footer", "copyright", "bottom"))), f'<div {pick(("id", "class"))}="footer">{foot}</div>', f'<div role="contentinfo">{foot}</div>'))]
+        if rng.random() < 0.08:  # a layout table
+            main = f"<table>{wrap('tr', wrap('td', link()))}{wrap('tr', wrap('td', links()) + wrap('td', main))}</table>"
+        body = "".join(top) + main + "".join(end)
+        page = body if bare and rng.random() < 0.3 else f"<html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>"
         pages.append([((b[0], b[1].replace(mark, ""), *b[2:]), int(mark in b[1])) for b in blocks(page) if b[1].replace(mark, "")])
     return pages
 
@@ -296,7 +336,7 @@ def fit(pages: list[list[tuple[Block, int]]], steps: int = 250, rate: float = 0.
     for i, p in enumerate(pages):
         for k, (block, label) in enumerate(p):
             gold[i, k] = label
-            for f in dict.fromkeys([*block[0], *text_features(block, k, len(p))]):
+            for f in dict.fromkeys([*block[0], *text_features(block)]):
                 rows.append(i * t + k)
                 cols.append(names.setdefault(f, len(names)))
     rows, cols = np.array(rows), np.array(cols)
