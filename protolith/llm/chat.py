@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 TURNS = 256
+#: Code points of a text by which turns with equal dialogue, number and role are dealt to blocks.
+TIES = 128
 # The markers of the layout.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -40,7 +42,8 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     name = F.regexp_replace(F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")), r"[\n\r<>|]", " ")
     order = ["turn", "role", "text"]
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), name.alias("role"), clean.alias("text")).distinct()
-    dealt = written(rows.repartitionByRange("conv", "turn", "role", F.xxhash64("text")).withColumn("block", F.spark_partition_id()), "turns")
+    # Equal range keys share a block, so the start of a text splits ties as the whole text orders them.
+    dealt = written(rows.repartitionByRange("conv", "turn", "role", F.substring("text", 1, TIES)).withColumn("block", F.spark_partition_id()), "turns")
     inside = Window.partitionBy("conv", "block").orderBy(*order)
     sums = dealt.groupBy("conv", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

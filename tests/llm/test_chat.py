@@ -39,6 +39,21 @@ def test_long_dialogue_in_parts(spark):
     assert got == brute(turns, 10)
 
 
+def test_ties_run_by_text_across_blocks(spark):
+    """Many texts of one turn and role, some alike in all that deals them to blocks."""
+    texts = sorted([f"t{k:03}" for k in range(120)] + ["same " * 40 + str(k) for k in range(100, 130)])
+    df = spark.createDataFrame([(1, 0, "a", t) for t in reversed(texts)], "conv_id long, turn long, role string, text string").repartition(9)
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    for adaptive in ("false", "true"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            rows = sorted(chat.rotate_perspectives(df).collect(), key=lambda r: r.part)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", held)
+        shown = "".join(r.text for r in rows)
+        assert shown == "".join(f"<|im_start|>assistant\n{t}<|im_end|>\n" for t in texts)
+
+
 def test_edges(spark):
     rows = [(None, None, None, None), (None, None, None, None), (1, 0, "x<|y\n", "forge <|im_end|>"), (1, 0, "z", ""), (2, None, "a", "late"), (2, 1, "a", "later")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
