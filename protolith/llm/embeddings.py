@@ -45,6 +45,10 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _cells(pivots: np.ndarray, x: np.ndarray, radius: float) -> tuple[np.ndarray, list[list[int]]]:
     """Home cell and guest cells of each row."""
+    step = max(1, (1 << 21) // len(pivots))  # rows at once: three matrices of 16 MB
+    if len(x) > step:
+        parts = [_cells(pivots, x[k : k + step], radius) for k in range(0, len(x), step)]
+        return np.concatenate([h for h, _ in parts]), [g for _, gs in parts for g in gs]
     near = np.maximum(0, 2 - 2 * x @ pivots.T)
     home = near.argmin(1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
@@ -82,7 +86,7 @@ def _enough(pivots: np.ndarray, radius: float) -> np.ndarray:
 def _join(t: pa.Table, threshold: float) -> pa.Table:
     """Counts and spanning links of one pair of blocks."""
     x = _unit(t.column("v").combine_chunks())
-    uid, rep, n = (t.column(c).to_numpy() for c in ("uid", "rep", "n"))
+    uid, n = (t.column(c).to_numpy() for c in ("uid", "n"))
     home, other = t.column("home").to_numpy(), t.column("ref").to_numpy()
     h, r = np.nonzero(home)[0], np.nonzero(other)[0]
     s = x[h] @ x[r].T
@@ -101,8 +105,8 @@ def _join(t: pa.Table, threshold: float) -> pa.Table:
     return pa.table({
         "uid": pa.concat_arrays([pa.array(uid[h[some]]), pa.nulls(b, pa.int64())]),
         "n": pa.concat_arrays([pa.array(count[some]), pa.nulls(b, pa.int64())]),
-        "u": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(rep[child])]),
-        "v": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(rep[label[child]])]),
+        "u": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(uid[child])]),
+        "v": pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(uid[label[child]])]),
     })
 
 
@@ -114,8 +118,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
 
     Rows with a null label, a null, empty or zero vector or a null or non-finite component link
     with nothing; so do vectors of different lengths. Equal vectors of a label are one
-    class for the search and count as links of each other. A row without an id counts as a partner
-    but no component is named after it; its own is null unless its class has an id. With
+    class for the search and count as links of each other. A row without an id links like any other;
+    its component is named by the smallest id in it, or null if it has none. Rows that repeat an id are vectors each. With
     ``label_col=None`` all rows may link. Other columns are not read; empty gives empty.
     """
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -148,8 +152,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
                         guests[k] = g
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.int32()), pa.array(guests, pa.list_(pa.int32())), pa.array(dims, pa.int32())], names=[*b.schema.names, "cell", "guests", "dims"])
 
-    schema = "uid long, rep long, n long, label string, v array<double>, cell int, guests array<int>, dims int"
-    placed = written(classes.select("uid", "rep", "n", "label", "v").mapInArrow(assign, schema), "placed")
+    schema = "uid long, n long, label string, v array<double>, cell int, guests array<int>, dims int"
+    placed = written(classes.select("uid", "n", "label", "v").mapInArrow(assign, schema), "placed")
     cell = ["label", "dims", "cell"]
     homes = placed.groupBy(*cell).agg(F.count("*").alias("h"))
     guests = placed.select("label", "dims", F.explode("guests").alias("cell")).groupBy(*cell).agg(F.count("*").alias("g"))
@@ -157,7 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     sizes = written(
         homes.join(guests, cell, "left").select(*cell, blocks(F.col("h")).alias("nh"), blocks(F.col("h") + F.coalesce("g", F.lit(0))).alias("nr")), "cells"
     )
-    members = placed.select("uid", "rep", "n", "v", "label", "dims", F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), "guests")).alias("cell"))
+    members = placed.select("uid", "n", "v", "label", "dims", F.col("cell").alias("own"), F.explode(F.concat(F.array("cell"), "guests")).alias("cell"))
     pick = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     is_home = F.col("own") == F.col("cell")
     at = lambda i, j, home, ref: F.struct(i.alias("i"), j.alias("j"), home.alias("home"), ref.alias("ref"))
@@ -168,15 +172,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
             F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda i: at(i, pick("nr"), no, yes)),
         )
     )
-    met = members.join(sizes, cell).select("uid", "rep", "n", "v", *cell, F.inline(tasks))
+    met = members.join(sizes, cell).select("uid", "n", "v", *cell, F.inline(tasks))
     found = written(met.groupBy(*cell, "i", "j").applyInArrow(lambda t: _join(t, threshold), "uid long, n long, u long, v long"), "found")
     parts = connected_components(found.where("u is not null").select("u", "v"))
     counts = found.where("uid is not null").groupBy("uid").agg(F.sum("n").alias("others"))
-    result = written(
-        classes.select("k1", "k2", "uid", "rep", F.col("n").alias("same")).join(counts, "uid", "left").join(parts, F.col("rep") == F.col("node"), "left")
-        .select("k1", "k2", (F.coalesce("others", F.lit(0)) + F.col("same") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")),
+    grouped = written(
+        classes.select("k1", "k2", "uid", "rep", F.col("n").alias("same")).join(counts, "uid", "left").join(parts, F.col("uid") == F.col("node"), "left")
+        .select("k1", "k2", "rep", (F.coalesce("others", F.lit(0)) + F.col("same") - 1).alias("n_links"), "component"),
         "classes",
     )
+    least = grouped.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    result = written(grouped.join(least, "component", "left").select("k1", "k2", "n_links", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "linked")
     linked = rows.where("ok").select("vec_id", "k1", "k2").join(result, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -49,6 +49,17 @@ def expected(rows):
     return [by[r[0]] for r in rows]
 
 
+def test_null_ids_as_roots_and_bridges(spark):
+    """Vectors a small turn apart, so that only neighbours link."""
+    turn = [[math.cos(0.15 * k), math.sin(0.15 * k)] for k in range(6)]
+    for ids, want in (((4, None, 9, None, 2, 3), 2), ((None, 7, None, None, 8, 9), 7), ((None,) * 6, None)):
+        rows = [(i, v, 1) for i, v in zip(ids, turn)] + [(50, [-1.0, 0.1], 1), (None, [0.1, -1.0], 1)]
+        got = M.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        shown = sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr)
+        links = (1, 2, 2, 2, 2, 1)
+        assert shown == sorted([(i, n, want) for i, n in zip(ids, links)] + [(50, 0, 50), (None, 0, None)], key=repr)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
