@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, without, written
 
 #: Passages of items searched in one pass, and rows of one latent space.
 ITEMS, ROWS = 4000, 256
@@ -308,8 +308,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return result
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, with all columns, without the documents that repeat a benchmark item. Rows without an id stay unless their text leaks."""
-    rows = written(find_leaks(docs, benchmark, id_col, text_col), "leaks")
-    gone = rows.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs``, with all columns, without the rows whose text repeats a benchmark item.
+
+    Rows are told apart by a number of their own: ids may be null or repeated and are not read. Without
+    documents or items ``docs`` is unchanged.
+    """
+    rows = numbered(docs)
+    leaks = find_leaks(rows.select("uid", F.col("row").getField(text_col).alias("t")), benchmark, "uid", "t")
+    return without(rows, leaks.select(F.col("doc_id").alias("uid")).distinct())

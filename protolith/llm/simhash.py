@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, numbered, without, written
 
 #: Bits of the three segments, and where each starts.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -133,31 +133,31 @@ def _spanning(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return child, label[child]
 
 
-LINKS = "u long, v long, key long, fp long, rep long, chunk int"
+LINKS = "u long, v long, key long, fp long, chunk int"
 
 
 def _link_stream(batches, block: int):
     """Links within runs of one key; runs of over ``block`` rows are passed on in chunks."""
 
-    def out(u=(), v=(), key=(), fp=(), rep=(), chunk=0):
-        n, none = len(u) + len(key), lambda k, t: pa.nulls(k, t)
-        if len(u):
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(none(n, pa.int64()) for _ in range(3)), none(n, pa.int32())], names=LINKS.replace(" long", "").replace(" int", "").split(", "))
-        return pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), pa.array(key), pa.array(fp), pa.array(rep), pa.array(np.full(n, chunk, np.int32))], names=LINKS.replace(" long", "").replace(" int", "").split(", "))
+    names = [c.split()[0] for c in LINKS.split(", ")]
 
-    def linked(key, fp, rep):
+    def linked(key, fp):
         a, b = _spanning(key, fp.view(np.uint64))
-        if len(a):
-            yield out(u=rep[a], v=rep[b])
+        if n := len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b]), *(pa.nulls(n, pa.int64()) for _ in range(2)), pa.nulls(n, pa.int32())], names=names)
 
-    held = [np.zeros(0, np.int64)] * 3
+    def passed(key, fp, chunk):
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(key), pa.array(fp), pa.array(np.full(n, chunk, np.int32))], names=names)
+
+    held = [np.zeros(0, np.int64)] * 2
     big, chunk = None, 0
     for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp", "rep"), strict=True)]
+        held = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, ("key", "fp"), strict=True)]
         if big is not None:  # rows of a run that is already too large
             n = int(np.searchsorted(held[0], big, "right"))
             for at in range(0, n, block):
-                yield out(key=held[0][at : min(n, at + block)], fp=held[1][at : min(n, at + block)], rep=held[2][at : min(n, at + block)], chunk=chunk)
+                yield passed(*(h[at : min(n, at + block)] for h in held), chunk)
                 chunk += 1
             held = [h[n:] for h in held]
             big = big if not len(held[0]) else None
@@ -167,7 +167,7 @@ def _link_stream(batches, block: int):
         if len(held[0]) - last > block:
             big, chunk, n = held[0][-1], 0, len(held[0])
             for at in range(last, n, block):
-                yield out(key=held[0][at : at + block], fp=held[1][at : at + block], rep=held[2][at : at + block], chunk=chunk)
+                yield passed(*(h[at : at + block] for h in held), chunk)
                 chunk += 1
         yield from linked(*(h[:last] for h in held))
         held = [h[len(h) if big is not None else last :] for h in held]
@@ -175,41 +175,30 @@ def _link_stream(batches, block: int):
         yield from linked(*held)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long) of each row; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """``doc_id``, ``fp`` (the 64 bits as a signed long) and ``more`` long columns of each row; null text counts as empty."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *more])
 
+    cols = [F.col(id_col).cast("long"), F.col(text_col).cast("string"), *(F.col(c).cast("long") for c in more)]
+    return docs.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Fingerprint and component of every document.
-
-    Returns ``doc_id``, ``fingerprint`` (16 lowercase hex digits) and
-    ``component_id``: the smallest id reachable over links of at most three
-    differing bits, a document's own id included.
 
-    Copies are one node: links run between distinct fingerprints. Null or empty
-    texts have fingerprint zero and link like any other. Repeated rows are returned
-    as often as given; a row without an id gets its group's smallest id, or null if
-    the group has none. Other columns, whatever their names, are not read. An
-    empty table gives an empty result.
-    """
-    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+def groups_of(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``fp``, ``grp`` of each distinct fingerprint: the least fingerprint (as a signed long) that its links reach."""
+    classes = written(fps.select("fp").distinct(), "classes")
 
     def keyed(batches):
         golay = Golay()
         for b in batches:
-            fp, rep = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            fp = b.column(0).to_numpy(zero_copy_only=False)
             row, key = bucket_keys(golay, fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row])], names=["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
-    keys = classes.where("rep is not null").mapInArrow(keyed, "key long, fp long, rep long")
+    keys = classes.mapInArrow(keyed, "key long, fp long")
     links = written(
         keys.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _link_stream(it, block), LINKS), "links"
     )
@@ -219,23 +208,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chunks = over.groupBy("key").agg(F.max("chunk").alias("last"))
         pairs = (
             over.join(chunks, "key")
-            .select("key", "fp", "rep", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-            .select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "fp", "rep")
+            .select("key", "fp", "chunk", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+            .select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "fp")
         )
         more = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _link_stream(it, 1 << 30), LINKS)
         edges = edges.unionByName(more.select("u", "v"))
     parts = connected_components(edges)
-    groups = written(
-        classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "groups",
-    )
-    return fps.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("grp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Fingerprint and component of every document.
+
+    Returns ``doc_id``, ``fingerprint`` (16 lowercase hex digits) and
+    ``component_id``: the smallest id reachable over links of at most three
+    differing bits, a document's own id included.
+
+    Copies are one node: links run between distinct fingerprints. Null or empty
+    texts have fingerprint zero and link like any other. Repeated rows are returned
+    as often as given; a row without an id links like any other and gets its group's smallest id,
+    or null if the group has none. Other columns, whatever their names, are not read. An
+    empty table gives an empty result.
+    """
+    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    grouped = written(groups_of(fps, block).join(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp"), "grouped")
+    least = grouped.groupBy("grp").agg(F.min("rep").alias("component_id"))
+    named = written(grouped.join(least, "grp").select("fp", "component_id"), "groups")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id.
+    """``docs`` with one row of each near-duplicate group, the one with the smallest id.
 
-    All columns are kept. Rows without an id stay.
+    All columns are kept. Rows are told apart by a number of their own, never by their id: of rows that
+    share the smallest id one stays, and a row that goes takes no namesake of another group along. Rows without an
+    id come last; of a group that has no id one row stays. An empty table gives an empty result.
     """
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    row, own = F.col("row"), "own"
+    fps = written(fingerprints(rows.select("uid", row.getField(text_col).alias("t"), row.getField(id_col).alias(own)), own, "t", "uid"), "fingerprints")
+    groups = written(groups_of(fps), "groups")
+    # the order of ids, then of rows; null ids last
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "uid")
+    of_fp = written(fps.groupBy("fp").agg(F.min(place).alias("first")).join(groups, "fp"), "firsts")
+    stay = of_fp.groupBy("grp").agg(F.min("first").alias("first")).select("first.uid")
+    return without(rows, fps.select("uid").join(stay, "uid", "left_anti"))

@@ -29,6 +29,8 @@ def test_components(spark):
         rows = connected_components(df).collect()
         assert len(rows) == len({r.node for r in rows})
         assert {r.node: r.component for r in rows} == brute(edges)
+        place = f"{shared_dir(spark)}/protolith"
+        assert not [x for x in os.listdir(place) if x.startswith("scratch")]  # the rounds leave nothing
 
 
 def test_written_and_cleared(spark):

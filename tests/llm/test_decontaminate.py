@@ -56,7 +56,9 @@ def test_edges(spark):
     got = sorted((str(r.doc_id), r.item_id) for r in D.find_leaks(df, bench).collect())
     assert got == [("3", 7), ("3", 7), ("6", 7), ("None", 7)]
     assert D.find_leaks(df.limit(0), bench).count() == 0 and D.find_leaks(df, bench.limit(0)).count() == 0
-    assert sorted(r.doc_id or 0 for r in D.without_leaks(df, bench).collect()) == [0, 1, 2, 5]
+    assert sorted(r.doc_id or 0 for r in D.without_leaks(df, bench).collect()) == [1, 2, 5]
+    same = df.selectExpr("7 AS doc_id", "text")  # one id for all: rows go by their text alone
+    assert sorted(r.text or "" for r in D.without_leaks(same, bench).collect()) == ["", "", "nothing here at all"]
     assert D.without_leaks(df, bench).columns == df.columns
 
 

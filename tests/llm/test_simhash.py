@@ -69,6 +69,22 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (None, "zz")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in S.near_duplicates(df).collect())
     assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5)]
+    assert S.one_per_group(empty).count() == 0
+    kept = sorted(((r.doc_id, r.text) for r in S.one_per_group(df.selectExpr("*", "1 AS uid", "2 AS row")).collect()), key=repr)
+    assert kept == [(5, "a b c"), (None, "zz")]
+    twice = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (2, "quite another text"), (2, "quite another text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in S.one_per_group(twice).collect()) == [(1, "a b c d e"), (2, "quite another text")]
+
+
+def test_rows_without_id_are_bridges(spark, monkeypatch):
+    """A chain of fingerprints three bits apart whose middle, or whose least, has no id."""
+    chain = [0b0, 0b111, 0b111111, 0b111111111, 0b111111111111]
+    monkeypatch.setattr(S, "fingerprint", lambda text: chain[int(text)])
+    make = lambda *ids: spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+    for ids, want in (((4, None, 9, None, 2), 2), ((None, 7, None, None, 8), 7), ((None, None, None, None, None), None)):
+        fps = spark.createDataFrame([(i, chain[k]) for k, i in enumerate(ids)], "doc_id long, fp long")
+        monkeypatch.setattr(S, "fingerprints", lambda *_, fps=fps: fps)
+        assert [r.component_id for r in S.near_duplicates(make(*ids)).collect()] == [want] * 5
 
 
 def test_whole_small_table(spark):
