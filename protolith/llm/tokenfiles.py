@@ -14,8 +14,10 @@ repeated or lost attempts leave no half files.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from .common import shared_dir
 from .tokenize import encoder
 
 NO_ID = -(1 << 63)
+#: Bytes of input for each part; documents and tokens that are read back at once (a longer document by itself).
+PART_BYTES, READ_DOCS, READ_TOKENS = 128 << 20, 10_000, 4 << 20
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -40,12 +44,19 @@ def _put(fs: pafs.FileSystem, path: str, data: bytes) -> None:
     fs.move(own, path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Write ``docs`` in ascending id order under ``folder``; returns the manifest's parts.
+def _parts(docs: DataFrame) -> int:
+    """As many parts as ``PART_BYTES`` of the input's known size ask for, and at least Spark's own number."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, math.ceil(size / PART_BYTES)) if size < 1 << 60 else least  # beyond that, Spark does not know
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> list[dict]:
+    """Write ``docs`` in ascending id order under ``folder``, in ``parts`` parts (by default from the input's size); returns the manifest's parts.
 
     Ids repeated across rows are all written, in the order of their texts' hashes. Null ids come
     first; a null text is empty; each document ends with ``end_id``. Only one small row per
-    part reaches the driver.
+    part reaches the driver. Other columns are not read; an empty table gives a corpus without parts.
     """
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
     fs, root = _open(uri)
@@ -56,7 +67,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         e = encoder(tokenizer)
         kind = "<u2" if max(e.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
         end, own = np.array([end_id], kind).tobytes(), uuid.uuid4().hex
-        part, ids, offsets, at, stream = None, [], [0], 0, None
+        part, ids, offsets, at, stream = None, array("q"), array("q", [0]), 0, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -73,46 +84,63 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         if stream is not None:
             stream.close()
             out.move(f"{root}/{part:06d}.bin.{own}", f"{root}/{part:06d}.bin")
-            _put(out, f"{root}/{part:06d}.off", np.array(offsets, "<i8").tobytes())
-            _put(out, f"{root}/{part:06d}.id", np.array(ids, "<i8").tobytes())
+            _put(out, f"{root}/{part:06d}.off", np.asarray(offsets, "<i8").tobytes())
+            _put(out, f"{root}/{part:06d}.id", np.asarray(ids, "<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ids)], "tokens": [at], "kind": [kind]})
 
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-        .repartitionByRange("d", F.xxhash64("t"))
+        .repartitionByRange(parts or _parts(docs), "d", F.xxhash64("t"))
         .sortWithinPartitions("d", F.xxhash64("t"))
         .select("d", "t", F.spark_partition_id().cast("long"))
     )
-    parts = sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, docs long, tokens long, kind string").collect()), key=lambda r: r["part"])
+    made = sorted((r.asDict() for r in ordered.mapInArrow(run, "part long, docs long, tokens long, kind string").collect()), key=lambda r: r["part"])
     base = first = 0
-    for p in parts:
+    for p in made:
         p |= {"base": base, "first": first}
         base, first = base + p["tokens"], first + p["docs"]
-    _put(fs, f"{root}/manifest.json", json.dumps({"end_id": end_id, "parts": parts}).encode())
-    return parts
+    _put(fs, f"{root}/manifest.json", json.dumps({"end_id": end_id, "parts": made}).encode())
+    return made
 
 
 class TokenPart:
-    """One part, memory-mapped where the file system is local."""
+    """One part, memory-mapped where the file system is local; elsewhere ranges of it are read."""
 
     def __init__(self, folder: str, part: int, kind: str):
         self.fs, self.root = _open(folder)
         self.name, self.kind = f"{self.root}/{part:06d}", kind
         self.local = isinstance(self.fs, pafs.LocalFileSystem)
-        self.offsets, self.ids = self._map("off", "<i8"), self._map("id", "<i8")
-        self.tokens = self._map("bin", kind)
+        self.files = {x: np.memmap(f"{self.name}.{x}", self._kind(x), "r") if self.local else self.fs.open_input_file(f"{self.name}.{x}") for x in ("off", "id", "bin")}
+
+    def _kind(self, suffix: str) -> np.dtype:
+        return np.dtype(self.kind if suffix == "bin" else "<i8")
 
-    def _map(self, suffix: str, kind: str) -> np.ndarray:
+    def _range(self, suffix: str, a: int, b: int) -> np.ndarray:
         if self.local:
-            return np.memmap(f"{self.name}.{suffix}", kind, "r")
-        with self.fs.open_input_file(f"{self.name}.{suffix}") as f:
-            return np.frombuffer(f.read(), kind)
+            return np.asarray(self.files[suffix][a:b])
+        size = self._kind(suffix).itemsize
+        return np.frombuffer(self.files[suffix].read_at((b - a) * size, a * size), self._kind(suffix))
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return len(self.files["id"]) if self.local else self.files["id"].size() // 8
+
+    def read(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Document ids, offsets (one more) and the tokens of documents ``a`` to ``b``."""
+        off = self._range("off", a, b + 1)
+        tokens = self._range("bin", int(off[0]), int(off[-1]))
+        return self._range("id", a, b), off, [tokens[x:y] for x, y in zip(off - off[0], off[1:] - off[0], strict=False)]
+
+    def batches(self):
+        """``read`` of slices of bounded size."""
+        at = 0
+        while at < len(self):
+            off = self._range("off", at, min(at + READ_DOCS, len(self)) + 1)
+            n = max(1, int(np.searchsorted(off, off[0] + READ_TOKENS, "right")) - 1)
+            yield self.read(at, at + n)
+            at += n
 
     def __getitem__(self, k: int) -> np.ndarray:
-        return self.tokens[self.offsets[k] : self.offsets[k + 1]]
+        return self.read(k, k + 1)[2][0]
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -127,11 +155,8 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         for b in batches:
             for part, base, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held = TokenPart(uri, part, kind)
-                for at in range(0, len(held), 10_000):
-                    n = min(10_000, len(held) - at)
-                    off = np.asarray(held.offsets[at : at + n + 1])
-                    ids = [held[k].astype("<u4") for k in range(at, at + n)]
-                    doc = np.asarray(held.ids[at : at + n])
+                for doc, off, ids in held.batches():
+                    ids = [x.astype("<u4") for x in ids]
                     cols = [pa.array(doc, mask=doc == NO_ID), pa.array(off[:-1] + base), pa.array(np.diff(off)), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                     cols += [pa.array([x.astype("i8").tolist() for x in ids], pa.list_(pa.int64()))] * with_ids
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)

@@ -2,8 +2,8 @@
 
 Byte-pair encoders never merge across the pieces of their pre-tokenizer, so a text
 is cut where such a piece surely ends and each unit's ids are looked up in a
-bounded table that the library fills. ``tests/llm/test_tokenize.py`` holds the result
-against encoding texts in one go.
+bounded table that the library fills. Added tokens, such as ``<|endoftext|>``, are cut out
+first, as the library does. ``tests/llm/test_packing.py`` holds the result against encoding texts in one go.
 
 * ``word``: the normaliser and the splitting pattern treat white space only as a
   separator, so units are the words.
@@ -72,21 +72,30 @@ class _Units(dict):
 
 
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit bytes, without special tokens."""
+    """``encode(text)``: the ids as little-endian unsigned 32-bit bytes; no special tokens are put around a text, those written in it count."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab_size = t.get_vocab_size(with_added_tokens=True)
         kind = type(t.pre_tokenizer).__name__
-        self.encode = {"ByteLevel": self._byte, "Sequence": self._word}.get(kind)
-        if self.encode is None:
+        self.part = {"ByteLevel": self._byte, "Sequence": self._word}.get(kind)
+        if self.part is None:
             raise ValueError(f"no way to cut texts for the pre-tokenizer {kind}")
+        added = t.get_added_tokens_decoder()
+        if any(x.normalized or x.single_word or x.lstrip or x.rstrip for x in added.values()):
+            raise ValueError("added tokens that depend on what is around them cannot be cut out")
+        self.added = {x.content: array("I", [k]).tobytes() for k, x in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.first = _Units(t, lower=kind == "Sequence")
         self.spaced = _Units(t, " ")
 
+    def encode(self, text: str) -> bytes:
+        if not any(x in text for x in self.added):
+            return self.part(text)
+        return b"".join(self.added[x] if k % 2 else self.part(x) for k, x in enumerate(self.cut.split(text)))
+
     def _word(self, text: str) -> bytes:
         if _CONTROL.search(text):  # white space to Python alone
             return self.first.whole(text)

@@ -21,7 +21,6 @@ TEXTS = [
 
 def full(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4")
 
 
@@ -31,6 +30,8 @@ def test_units_equal_whole_texts(spark, path):
     docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     rng = random.Random(1)
     noise = ["".join(rng.choice("ab é\n\t .'1漢") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", " ", "\n", "a", "é", "endoftext", "'s", "\x1c"]
+    noise += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
     for text in TEXTS + docs + noise:
         assert e.encode(text) == whole(text).tobytes(), repr(text)
 
@@ -116,11 +117,49 @@ def test_token_files(spark, tmp_path):
     assert TF.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_queries(spark):
-    from protolith.llm.queries import op1_packing, op6_token_files
+def least_sequences(lengths, capacity):
+    """A lower bound of the number of sequences: by total, and by pieces over half, which never meet, with what cannot lie beside them."""
+    lengths = np.array(lengths)
+    best = -(-int(lengths.sum()) // capacity)
+    for k in np.unique(np.r_[0, lengths[lengths <= capacity // 2]]):
+        alone, half = lengths > capacity - k, (lengths <= capacity - k) & (lengths > capacity // 2)
+        small = lengths[(lengths >= k) & (lengths <= capacity // 2)].sum()
+        best = max(best, int(alone.sum() + half.sum() + max(0, -(-(small - (half.sum() * capacity - lengths[half].sum())) // capacity))))
+    return best
+
+
+def test_op1_whole_table(spark):
+    """Every piece's ids, gapless places and the number of sequences, against the library over whole texts."""
+    from protolith.llm.queries import op1_packing
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    whole, out = full(WORD), op1_packing(spark, SF).toPandas()
+    want = {}
+    for d, t in docs.items():
+        ids = np.append(whole(t), 0).astype("<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            cut = ids[at : at + 2048]
+            want[d, k] = (at, len(cut), zlib.crc32(cut.tobytes()))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out.itertuples()} == want and len(out) == len(want)
+    at = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert all((g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048 for _, g in at)
+    assert out.sequence_id.nunique() <= least_sequences(out.length, 2048) + 1
+
+
+def test_op6_whole_table(spark):
+    from protolith.llm.queries import op6_token_files
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for query, path, column in ((op1_packing, WORD, "length"), (op6_token_files, BYTE, "n_tokens")):
-        whole = full(path)
-        out = query(spark, SF).toPandas()
-        assert out.groupby("doc_id")[column].sum().to_dict() == {d: len(whole(t)) + 1 for d, t in docs.items()}
+    whole, at, want = full(BYTE), 0, []
+    for d in sorted(docs):
+        ids = np.append(whole(docs[d]), 0).astype("<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, op6_token_files(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+def test_extra_columns_that_clash(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one", 5, 6, "x")], "doc_id long, text string, d long, part long, t string")
+    TF.write_tokens(df, BYTE, str(tmp_path / "t"), parts=3)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in TF.read_tokens(spark, str(tmp_path / "t")).collect()] == [(1, 0, 2)]
+    assert [r.length for r in K.pack_documents(df.selectExpr("*", "1 AS length", "2 AS nth", "3 AS offset"), WORD).collect()] == [2]
