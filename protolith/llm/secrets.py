@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 # The patterns, and the kinds in the order in which ties are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,23 +24,50 @@ KINDS = ("assign", "access", "hex", "owned")
 EXAMPLE_OWNERS, MIXED_CHARS = 4, 10
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
+#: Elements that a running total adds up at once; code points of a block when a text is cut.
+STEP, BLOCK = 64, 4096
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often a lambda inside reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+_most, _fewest = (lambda a, b: F.greatest(a, b)), (lambda a, b: F.least(a, b))
+
+
+def _running(values: Column, zero: int, merge) -> Column:
+    """Running totals of an array of longs: of chunks first, then inside each chunk, so no step copies all that came before."""
+    first = F.lit(zero).cast("bigint")
+
+    def inside(chunks: Column, before: Column) -> Column:
+        each = lambda c, j: F.transform(c, lambda _, i: merge(before[j], F.aggregate(F.slice(c, F.lit(1), i + 1), first, merge)))
+        return F.flatten(F.transform(chunks, each))
+
+    def chunked(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, first, merge))
+        before = F.aggregate(totals, F.array(first), lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)))
+        return _let(before, lambda b: inside(chunks, b))
+
+    def cut(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int"))
+        return F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(_let(F.transform(starts, lambda j: F.slice(v, j * STEP + 1, F.lit(STEP))), chunked))
+
+    return _let(values, cut)
 
 
 def _spans(text: Column, pattern: str, rank: int, value, keep) -> Column:
-    """Leftmost non-overlapping matches in code points: lengths of the gaps and of the matches add up to the places."""
+    """Leftmost non-overlapping matches in code points: running sums of the lengths of gaps and matches are the places. ``keep`` judges the value."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("hit")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.length(x["hit"])
-        new = F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), value(x["hit"]).alias("value"))
-        return F.struct(b.alias("at"), F.when(keep(x["hit"]), F.array_append(acc["out"], new)).otherwise(acc["out"]).alias("out"))
+    def placed(w: Column) -> Column:
+        steps = F.zip_with(F.slice(w["gaps"], F.lit(1), F.size(w["found"])), w["found"], lambda g, m: g + F.length(m))
+        ends = _running(steps, 0, lambda a, b: a + b)
+        one = lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), value(m).alias("value"))
+        return F.filter(F.zip_with(w["found"], ends, one), lambda x: keep(x["value"]))
 
-    out = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), _let(F.struct(gaps.alias("gaps"), found.alias("found")), placed)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -49,7 +76,7 @@ def base_spans(text: Column) -> Column:
     secret = lambda hit: F.regexp_extract(hit, ASSIGN, 2)
     always = lambda hit: F.lit(True)
     return F.concat(
-        _spans(text, ASSIGN, 0, secret, lambda hit: F.length(secret(hit)) >= 6),
+        _spans(text, ASSIGN, 0, secret, lambda found: F.length(found) >= 6),
         _spans(text, ACCESS, 1, whole, always),
         _spans(text, HEX, 2, whole, always),
     )
@@ -62,6 +89,25 @@ def mixed_spans(text: Column) -> Column:
     return _spans(text, MIXED, 3, lambda hit: hit, keep)
 
 
+def _with_free(base: Column, mixed: Column) -> Column:
+    """Base spans and the mixed ones that touch none of them, by start.
+
+    By start, a mixed span touches a base span if one before it ends behind its start or the next one starts
+    before its end: a running maximum and, backwards, a running minimum, in place of a look at every pair.
+    """
+
+    def marked(both: Column) -> Column:
+        ends = _running(F.transform(both, lambda s: F.when(s["rank"] < 3, s["end"]).otherwise(-1)), -1, _most)
+        far = (1 << 62) - 1
+        starts = F.reverse(_running(F.reverse(F.transform(both, lambda s: F.when(s["rank"] < 3, s["start"]).otherwise(far))), far, _fewest))
+        around = F.zip_with(ends, starts, lambda e, n: F.struct(e.alias("e"), n.alias("n")))
+        free = F.zip_with(both, around, lambda s, w: F.when((s["rank"] < 3) | ((w["e"] <= s["start"]) & (w["n"] >= s["end"])), s))
+        return F.filter(free, lambda s: s.isNotNull())
+
+    both = F.array_sort(F.concat(base, mixed))
+    return F.when(F.size(mixed) == 0, F.array_sort(base)).when(F.size(base) == 0, mixed).otherwise(_let(both, marked))
+
+
 def _ownership(found: DataFrame, owners: int) -> DataFrame:
     """``hash``, ``example``: whether at least ``owners`` owners hold the value. Counted in steps, so no value's rows meet in one task."""
     each = found.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
@@ -69,14 +115,15 @@ def _ownership(found: DataFrame, owners: int) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select("hash", "repos", "owners", (F.col("owners") >= owners).alias("example"))
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None, carry: bool) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col else F.lit("")
-    cols = [F.col(id_col).alias("repo"), owner.alias("owner"), text.alias("t")] + [F.struct(*docs.columns).alias("row")] * carry
-    found = docs.select(*cols).withColumns({"base": base_spans(F.col("t")), "mixed": mixed_spans(F.col("t"))})
-    free = F.filter("mixed", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    hashed = F.transform(F.concat("base", free), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
-    return found.select("repo", "owner", hashed.alias("spans"), *(["row"] * carry)).withColumn("uid", F.monotonically_increasing_id())
+def _candidates(rows: DataFrame) -> DataFrame:
+    """``uid``, ``repo``, ``owner`` and the hashed ``spans`` of rows of ``uid``, ``repo``, ``owner`` and ``t``."""
+    found = rows.withColumns({"base": base_spans(F.col("t")), "mixed": mixed_spans(F.col("t"))})
+    hashed = F.transform(_with_free(F.col("base"), F.col("mixed")), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
+    return found.select("uid", "repo", "owner", hashed.alias("spans"))
+
+
+def _text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def _judged(found: DataFrame, owners: int) -> DataFrame:
@@ -94,11 +141,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     spans as ``kind:start:end``, comma-joined), ``spans`` (those and the added ``owned`` ones), and the
     split by ownership: ``n_live`` and ``n_example`` spans, ``max_owners`` of any value found.
 
-    Null and empty texts have no spans. Repeated rows are scanned each and count as one
+    Work in a text is near linear in its matches. Null and empty texts have no spans. Repeated rows are scanned each and count as one
     repository. Null owners are one owner. Other columns are not read; an empty table gives
     an empty result.
     """
-    found = written(_candidates(docs, id_col, text_col, owner_col, False), "scanned")
+    owner = _text(F.col(owner_col)) if owner_col else F.lit("")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("repo"), owner.alias("owner"), _text(F.col(text_col)).alias("t"))
+    found = written(_candidates(rows), "scanned")
     judged = found.select("uid", "repo", F.size("spans").alias("size"))
     none = judged.where("size = 0").select("repo", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,example:boolean,owners:bigint,repos:bigint>>").alias("spans"))
     some = judged.where("size > 0").join(_judged(found, owners), "uid").select("repo", "spans")
@@ -119,34 +168,64 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
 
 
+def _merged(spans: Column) -> Column:
+    """Spans, by start, that overlap as one: a span opens a run if it starts at or behind all earlier ends."""
+
+    def opened(v: Column) -> Column:
+        return _let(_running(F.transform(v, lambda s: s["end"]), -1, _most), lambda ends: runs(v, ends))
+
+    def runs(v: Column, ends: Column) -> Column:
+        firsts = F.filter(F.transform(v, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+        one = lambda f: lambda i, j: F.struct(v[i]["start"].alias("start"), F.when(j + 1 < F.size(f), F.get(ends, F.get(f, j + 1) - 1)).otherwise(F.element_at(ends, -1)).alias("end"))
+        return _let(firsts, lambda f: F.transform(f, one(f)))
+
+    return _let(spans, opened)
+
+
+def _replaced(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with separate ``spans`` replaced by ``mark``. Pieces are cut from blocks, so that no cut walks the text from its start."""
+
+    def joined(w: Column) -> Column:
+        n = F.size(w["spans"])
+
+        def piece(j: Column) -> Column:
+            a = F.when(j == 0, F.lit(0).cast("bigint")).otherwise(F.get(w["spans"], j - 1)["end"])
+            b = F.when(j == n, w["size"]).otherwise(F.get(w["spans"], j)["start"])
+            return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: between(x["a"], x["b"]))
+
+        def between(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+            at = (a % BLOCK + 1).cast("int")
+            one = F.substring(F.get(w["blocks"], first), at, (b - a).cast("int"))
+            more = F.concat(
+                F.substring(F.get(w["blocks"], first), at, F.lit(BLOCK)),
+                F.array_join(F.slice(w["blocks"], first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                F.substring(F.get(w["blocks"], last), F.lit(1), ((b - 1) % BLOCK + 1).cast("int")),
+            )
+            return F.when(b <= a, F.lit("")).when(first == last, one).otherwise(more)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), piece), mark)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return _let(F.struct(blocks.alias("blocks"), spans.alias("spans"), F.length(text).cast("bigint").alias("size")), joined)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", owners: int = EXAMPLE_OWNERS, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each live-looking span replaced by ``mark``; widely copied examples stay as they are.
 
     Overlapping spans are replaced once. ``n_chars``, where it exists, follows the new text. All rows and
-    columns are kept.
+    columns are kept, null and repeated ids too; null texts stay null; an empty table stays empty. Only the spans of
+    changed rows are joined back, broadcast while they are small.
     """
-    found = written(_candidates(docs, id_col, text_col, owner_col, True), "scanned")
-    judged = _judged(found, owners)
-    live = F.filter("spans", lambda s: ~s["example"])
-    none = F.struct(F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
-    merged = F.aggregate(
-        live,
-        F.struct(F.array().cast("array<struct<start:bigint,end:bigint>>").alias("done"), none.alias("last")),
-        lambda acc, s: F.when(s["start"] < acc["last"]["end"], F.struct(acc["done"].alias("done"), F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end")).alias("last"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["last"])).alias("done"), F.struct(s["start"].alias("start"), s["end"].alias("end")).alias("last"))
-        ),
-        lambda acc: F.filter(F.concat(acc["done"], F.array(acc["last"])), lambda s: s["start"] >= 0),
-    )
-    cut = F.aggregate(
-        F.reverse("merged"),
-        F.col(f"row.{text_col}"),
-        lambda text, s: F.concat(F.substring(text, F.lit(1), s["start"].cast("int")), F.lit(mark), F.substring(text, (s["end"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    changed = found.join(judged.withColumn("merged", merged).where(F.size("merged") > 0).select("uid", "merged"), "uid").withColumn("new", cut)
-    out = [F.col("new").alias(c) if c == text_col else F.length("new").cast(t).alias(c) if c == "n_chars" else F.col(f"row.{c}") for c, t in docs.dtypes]
-    touched = judged.withColumn("merged", merged).where(F.size("merged") > 0).select("uid")
-    same = found.select("uid", "row").join(touched.hint("shuffle_hash"), "uid", "left_anti").select("row.*")
-    return same.unionByName(changed.select(*out))
+    rows = numbered(docs)
+    field = lambda c: F.col("row").getField(c)
+    owner = _text(field(owner_col)) if owner_col else F.lit("")
+    found = written(_candidates(rows.select("uid", field(id_col).alias("repo"), owner.alias("owner"), _text(field(text_col)).alias("t"))), "scanned")
+    live = _judged(found, owners).select("uid", F.filter("spans", lambda s: ~s["example"]).alias("spans")).where(F.size("spans") > 0)
+    cuts = written(live.select("uid", _merged(F.col("spans")).alias("cuts")), "cuts")
+    both = rows.join(cuts, "uid", "left").withColumn("new", F.when(F.col("cuts").isNull(), field(text_col)).otherwise(_replaced(field(text_col).cast("string"), F.col("cuts"), mark)))
+    size = lambda c, t: F.when(F.col("cuts").isNull(), field(c)).otherwise(F.length("new").cast(t))
+    return both.select(*(F.col("new").alias(c) if c == text_col else size(c, t).alias(c) if c == "n_chars" else field(c).alias(c) for c, t in docs.dtypes))
 
 
 def oracle() -> str:
