@@ -2,12 +2,16 @@
 
 Terms of the benchmark get TF-IDF weights from document counts over the whole corpus.
 Items are cut into passages of about a window. For each ``ROWS`` passages a randomised SVD, whose products run on the executors over a bounded sample of corpus
-passages, gives a latent basis with as many dimensions, which holds those passages. Every window of every
-document is then projected and compared by cosine with every passage; candidates are
+passages, gives a latent basis with as many dimensions, which holds those passages. Windows of the
+documents are projected and compared by cosine with the passages; candidates are
 checked, where they are found, by the longest common subsequence of words and by
 the item's answer.
 
-The corpus is never shuffled: both passes over it are maps, and what comes back is
+An inverted index of each item's rarer words says which windows and items are worth a
+comparison. It loses nothing: half of an item's words in order cannot be found where
+fewer of its rarer words stand than that half must hold.
+
+The corpus is never shuffled: all passes over it are maps, and what comes back is
 a count per benchmark term and the leaks themselves.
 """
 
@@ -15,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +37,8 @@ ITEMS, ROWS = 4000, 256
 RANK, SAMPLE, KEPT = 192, 20_000, 0.8
 #: Words of a block; a window is two blocks. Documents are read in slices of so many words.
 BLOCK, SLICE = 16, 1 << 15
+#: Share of an item's words, the rarest, that the inverted index holds.
+RARE = 0.6
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
 COSINE, COMMON, COMMON_ANSWERED = 0.25, 0.6, 0.5
 _WORD = re.compile(r"\w+")
@@ -56,7 +64,7 @@ def pieces(item: list[str]) -> list[list[str]]:
     return [item[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def common_length(a: list[str], b: list[str]) -> int:
+def common_length(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bit-parallel dynamic programming."""
     full, masks = (1 << len(a)) - 1, {}
     for k, w in enumerate(a):
@@ -79,8 +87,8 @@ class Part:
     basis: np.ndarray  # weighted rows: one per term of the part
     rows: np.ndarray  # (rows, rank), divided by the rows' lengths
 
-    def windows(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First block of each window, and its cosines with all rows."""
+    def windows(self, tokens: np.ndarray, at: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """First block of each window, and its cosines with ``rows``."""
         block = at // BLOCK
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         sums = np.add.reduceat(self.basis[tokens], first, axis=0)
@@ -90,57 +98,97 @@ class Part:
         both, both_mass = sums.copy(), mass.copy()
         both[next_] += sums[next_ + 1]
         both_mass[next_] += mass[next_ + 1]
-        return start, (both @ self.rows.T) / np.sqrt(both_mass)[:, None]
+        return start, (both @ self.rows[rows].T) / np.sqrt(both_mass)[:, None]
 
 
-@dataclass
 class Index:
-    """Items of one block, in parts."""
-
-    ids: list
-    texts: list[list[str]]
-    answers: list[list[str]]
-    vocab: dict[str, int]
-    parts: list[Part]
-
-    def __post_init__(self):
-        self.longest = max(map(len, self.texts))
+    """Items of one block, in parts, behind an inverted index of their rarer words."""
+
+    def __init__(self, ids: list, texts: list[list[str]], answers: list[list[str]], vocab: dict[str, int], weight: np.ndarray, parts: list[Part]):
+        self.ids, self.vocab, self.parts = ids, vocab, parts
+        self.texts, self.answers = ([[vocab[w] for w in t] for t in x] for x in (texts, answers))
+        self.size = np.array([len(t) for t in texts])
+        self.span = 2 * self.size + 2 * BLOCK  # words around a window that are searched for an item
+        self.need = np.zeros(len(texts), np.int64)  # rarer words that stand in them if half of an item does
+        pairs = []
+        for k, t in enumerate(self.texts):
+            held, n = Counter(t), 0
+            for w in sorted(held, key=lambda w: (-weight[w], w)):
+                if n >= RARE * len(t):
+                    break
+                pairs.append((w, k))
+                n += held[w]
+            self.need[k] = max(1, math.ceil(COMMON_ANSWERED * len(t)) + n - len(t))
+        term, self.item = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
+        self.count = np.bincount(term, minlength=len(vocab) + 1)  # the last, which -1 picks, has none
+        self.first = np.cumsum(self.count) - self.count
+        self.rows: list[list[tuple[int, list[int]]]] = [[] for _ in texts]
+        for at, part in enumerate(parts):
+            for r, k in enumerate(part.of):
+                if self.rows[k] and self.rows[k][-1][0] == at:
+                    self.rows[k][-1][1].append(r)
+                else:
+                    self.rows[k].append((at, [r]))
 
     def leaks(self, text: str | None) -> list[tuple]:
         """(item, cosine, share of its words in order, whether its answer is there, first word) of each leaked item."""
         found, best = words(text), {}
-        for low in range(0, len(found), SLICE):
-            part = found[low : low + SLICE + BLOCK]
-            ids = np.fromiter(map(self.vocab.get, part, repeat(-1)), np.int32, len(part))
-            for p in self.parts:
-                own = np.where(ids >= 0, p.local[ids], -1)
-                at = np.flatnonzero(own >= 0)
-                if len(at):
-                    self._check(p, own[at], at, found, low, best)
+        ids = np.fromiter(map(self.vocab.get, found, repeat(-1)), np.int32, len(found))
+        ahead = int(self.span.max())
+        for low in range(0, len(ids), SLICE):
+            for k, a, b in self._near(ids[low : low + SLICE + ahead]):
+                a, b = max(0, low + a), min(len(ids), low + b)
+                # no more words can be common in order than occur at all
+                if sum(map(set(ids[a:b].tolist()).__contains__, self.texts[k])) >= COMMON_ANSWERED * len(self.texts[k]):
+                    self._check(k, a, b, ids, best)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
-    def _check(self, p: Part, tokens: np.ndarray, at: np.ndarray, found: list[str], low: int, best: dict) -> None:
-        start, cosine = p.windows(tokens, at)
-        last, a, around = -1, 0, set()
-        for w, r in np.argwhere(cosine >= COSINE).tolist():
-            k = p.of[r]
-            if k in best and best[k][1] == 1:
-                continue
-            item = self.texts[k]
-            if w != last:
-                last, a = w, low + int(start[w]) * BLOCK
-                around = set(found[max(0, a - self.longest) : a + 2 * BLOCK + self.longest])
-            # no more words can be common in order than occur at all
-            if sum(map(around.__contains__, item)) < COMMON_ANSWERED * len(item):
+    def _near(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to): where windows of the item may lie, by its rarer words."""
+        pos = np.flatnonzero(self.count[ids])
+        if not len(pos):
+            return []
+        each = self.count[ids[pos]]
+        ends = np.cumsum(each)
+        item = self.item[np.arange(ends[-1]) + np.repeat(self.first[ids[pos]] - (ends - each), each)]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(pos, each)[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        some = np.flatnonzero(last < len(item))
+        some = some[(item[last[some]] == item[some]) & (at[last[some]] - at[some] < self.span[item[some]])]
+        out: list[tuple[int, int, int]] = []
+        for k, a, b in zip(item[some].tolist(), at[last[some]].tolist(), at[some].tolist(), strict=True):
+            n = len(self.texts[k])
+            a, b = (a - n) // BLOCK * BLOCK - 2 * BLOCK, ((b + n) // BLOCK + 2) * BLOCK
+            if out and out[-1][0] == k and a <= out[-1][2]:
+                out[-1] = (k, out[-1][1], max(b, out[-1][2]))
+            else:
+                out.append((k, a, b))
+        return out
+
+    def _check(self, k: int, a: int, b: int, ids: np.ndarray, best: dict) -> None:
+        for part, rows in self.rows[k]:
+            p = self.parts[part]
+            own = np.where(ids[a:b] >= 0, p.local[ids[a:b]], -1)
+            at = np.flatnonzero(own >= 0)
+            if not len(at) or (k in best and best[k][1] == 1):
                 continue
-            near = found[max(0, a - len(item)) : a + 2 * BLOCK + len(item)]
-            share = common_length(item, near) / len(item)
-            if share < COMMON_ANSWERED:
-                continue
-            reply = self.answers[k]
-            told = common_length(reply, near) >= 0.8 * len(reply)
-            if (share >= COMMON or told) and (k not in best or share > best[k][1]):
-                best[k] = (float(cosine[w, r]), share, told, max(0, a - len(item)))
+            start, cosine = p.windows(own[at], at, rows)
+            cosine = cosine.max(1)
+            for w in np.flatnonzero(cosine >= COSINE).tolist():
+                self._compare(k, a + int(start[w]) * BLOCK, float(cosine[w]), ids, best)
+
+    def _compare(self, k: int, a: int, cosine: float, ids: np.ndarray, best: dict) -> None:
+        item = self.texts[k]
+        begin = max(0, a - len(item))
+        near = ids[begin : a + 2 * BLOCK + len(item)].tolist()
+        share = common_length(item, near) / len(item)
+        if share < COMMON_ANSWERED or (k in best and share <= best[k][1]):
+            return
+        reply = self.answers[k]
+        told = common_length(reply, near) >= 0.8 * len(reply)
+        if share >= COMMON or told:
+            best[k] = (cosine, share, told, begin)
 
 
 def _counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -196,7 +244,7 @@ def _products(passages: DataFrame, local: np.ndarray, weight: np.ndarray, q: np.
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["p"])
 
     total = np.zeros(shape)
-    for r in passages.mapInArrow(run, "p binary").coalesce(2).mapInArrow(add, "p binary").toLocalIterator():
+    for r in passages.mapInArrow(run, "p binary").repartition(2).mapInArrow(add, "p binary").toLocalIterator():
         total += np.frombuffer(r.p).reshape(shape)
     return total
 
@@ -250,20 +298,41 @@ def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages
     return Part([k for k, _ in passages], local, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), (own @ basis).astype(np.float32))
 
 
-def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index | None:
+@dataclass
+class Corpus:
+    """What indexes of any items need of a corpus: how many documents hold a word, and sampled passages of words."""
+
+    vocab: dict[str, int]
+    held: np.ndarray
+    total: int
+    sample: DataFrame
+
+
+def survey(docs: DataFrame, vocab: set[str]) -> Corpus:
+    """One pass over all texts (column ``t``) for counts, and a sample of passages."""
+    known = {w: k for k, w in enumerate(sorted(vocab))}
+    held, total = _counts(docs, known)
+    return Corpus(known, held, total, _sample(docs, known, total))
+
+
+def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK, corpus: Corpus | None = None) -> Index | None:
     """An index of (id, text) items; ``docs`` has the text in column ``t``. None if no item has a word."""
     items = [(k, t) for k, t in items if words(t)]
-    texts = [words(t) for _, t in items]
-    vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
-    if not vocab:
+    if not items:
         return None
-    held, total = _counts(docs, vocab)
+    texts = [words(t) for _, t in items]
+    own = {w for t in texts for w in t}
+    corpus = corpus or survey(docs, own)
     # every term weighs something: copies of an item may be so many that all its words are frequent
-    weight = np.log((total + 1) / (held + 0.5)) + 1
+    weight = np.log((corpus.total + 1) / (corpus.held + 0.5)) + 1
     passages = [(k, p) for k, t in enumerate(texts) for p in pieces(t)]
-    sample = _sample(docs, vocab, total)
-    parts = [_part(sample, vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
-    return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, parts)
+    parts = [_part(corpus.sample, corpus.vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
+    # executors get the terms of these items alone
+    vocab = {w: k for k, w in enumerate(sorted(own))}
+    at = np.array([corpus.vocab[w] for w in vocab])
+    for p in parts:
+        p.local = p.local[at]
+    return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, weight[at], parts)
 
 
 SCHEMA = "doc_id long, item_id long, cosine double, common double, answer_found boolean, start_word long"
@@ -281,31 +350,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     result is empty. Other columns are not read.
     """
     text = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    result, block = docs.sparkSession.createDataFrame([], SCHEMA), []
-    held = 0
+    bench = benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).orderBy(item_col, item_text_col)
+    vocab: set[str] = set()
+    for r in bench.toLocalIterator():
+        vocab.update(words(r[1]))
+    if not vocab:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    corpus, done, block, held = survey(text.select("t"), vocab), [], [], 0
 
-    def search(items: list[tuple]) -> None:
-        nonlocal result
-        index = build_index(text.select("t"), items)
-        if index is None:
-            return
+    def search(items: list[tuple]) -> DataFrame | None:
+        index = build_index(text.select("t"), items, corpus=corpus)
 
         def run(batches):
             for b in batches:
                 rows = [(d, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in index.leaks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        result = result.unionByName(text.mapInArrow(run, SCHEMA))
+        return text.mapInArrow(run, SCHEMA) if index else None
 
-    for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).orderBy(item_col, item_text_col).toLocalIterator():
-        block.append((r[0], r[1]))
-        held += len(pieces(words(r[1])))
+    for r in bench.toLocalIterator():
         if held >= ITEMS:
-            search(block)
+            # the driver holds one index at a time
+            done += [written(found, "leaks")] if (found := search(block)) else []
             block, held = [], 0
-    if block:
-        search(block)
-    return result
+        block.append((r[0], r[1]))
+        held += len(pieces(words(r[1])))
+    done += [found] if (found := search(block)) else []
+    return reduce(DataFrame.unionByName, done)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
