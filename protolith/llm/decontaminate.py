@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -26,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ from .common import numbered, without, written
 ITEMS, ROWS = 4000, 256
 #: Least latent dimensions, where rows are fewer; sampled passages for the basis; least share of a row's energy in it.
 RANK, SAMPLE, KEPT = 192, 20_000, 0.8
-#: Words of a block; a window is two blocks. Documents are read in slices of so many words.
-BLOCK, SLICE = 16, 1 << 15
+#: Words of a block; a window is two blocks. So many words are searched at once.
+BLOCK, SLICE = 16, 1 << 20
+#: Bytes of texts that are read at once; tokens whose words a worker remembers.
+BYTES, TOKENS = 8 << 20, 500_000
 #: Share of an item's words, the rarest, that the inverted index holds.
 RARE = 0.6
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
@@ -77,28 +81,103 @@ def common_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+class Reader:
+    """Term ids of whole texts: a column is cut at white space, and each distinct token's words are looked up once."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab = vocab
+        self.known: dict[str, int] = {}  # number of each remembered token
+        self.terms, self.count = array("i"), array("q")
+        self.kept = (0, 0)  # terms and tokens to remember
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        """A number for each token, whose words are in ``terms``; those beyond ``TOKENS`` are forgotten at the next call."""
+        del self.terms[self.kept[0] :], self.count[self.kept[1] :]
+        out = np.fromiter(map(self.known.get, tokens, repeat(-1)), np.int64, len(tokens))
+        for k in np.flatnonzero(out < 0).tolist():
+            terms = [self.vocab.get(w, -1) for w in words(tokens[k])]
+            out[k] = len(self.count)
+            self.terms.extend(terms)
+            self.count.append(len(terms))
+            if len(self.known) < TOKENS and len(tokens[k]) <= 64 and self.kept[1] == len(self.count) - 1:
+                self.known[tokens[k]] = len(self.count) - 1
+                self.kept = (len(self.terms), len(self.count))
+        return out
+
+    def slices(self, column: pa.Array):
+        """(first row, ids of all words one after another with -1 for other words, where each row starts and the end), of at most ``BYTES`` unless one text is longer."""
+        column = pc.fill_null(column, "")
+        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(column):
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + BYTES, "right")))
+            yield low, *self._read(column.slice(low, high - low))
+            low = high
+
+    def _read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.utf8_split_whitespace(column.cast(pa.large_string()))
+        tokens = lists.flatten().dictionary_encode()
+        code = self._numbers(tokens.dictionary.to_pylist())[tokens.indices.to_numpy()]
+        count, terms = np.array(self.count), np.array(self.terms)
+        n = count[code]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = terms[spread((np.cumsum(count) - count)[code], n)]
+        starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
+        return ids, ends[starts]
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[k] .. first[k] + count[k] - 1 of all k, one after another."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 @dataclass
 class Part:
     """Rows of some items in a latent space of their own, which has about as many dimensions as rows."""
 
     of: list[int]  # item of each row, which is a passage of it
-    local: np.ndarray  # term of the part for each term of the index, or -1
-    weight: np.ndarray
-    basis: np.ndarray  # weighted rows: one per term of the part
-    rows: np.ndarray  # (rows, rank), divided by the rows' lengths
-
-    def windows(self, tokens: np.ndarray, at: np.ndarray, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """First block of each window, and its cosines with ``rows``."""
-        block = at // BLOCK
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        sums = np.add.reduceat(self.basis[tokens], first, axis=0)
-        mass = np.add.reduceat(self.weight[tokens] ** 2, first)
-        start = block[first]
-        next_ = np.flatnonzero(start[1:] == start[:-1] + 1)
-        both, both_mass = sums.copy(), mass.copy()
-        both[next_] += sums[next_ + 1]
-        both_mass[next_] += mass[next_ + 1]
-        return start, (both @ self.rows[rows].T) / np.sqrt(both_mass)[:, None]
+    local: np.ndarray  # term of the part for each term of the index, or -1; one more, for words that are no term
+    mass: np.ndarray  # squared weight of each term of the part
+    #: (term, row): the product of the term's latent vector with the row's, over the row's length. A window's latent
+    #: vector is a sum over its words, so its product with a row is the sum of these.
+    score: np.ndarray
+
+    def __post_init__(self):
+        self.item = np.array(self.of)
+        self.order = np.argsort(self.item, kind="stable")
+
+    def windows(self, item: np.ndarray, begin: np.ndarray, end: np.ndarray, origin: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(region, first word, cosine) of windows of the regions that lie within the least cosine of a row of their item."""
+        low = np.searchsorted(self.item[self.order], item, "left")
+        rows = np.searchsorted(self.item[self.order], item, "right") - low
+        region = np.repeat(np.arange(len(item)), rows)
+        row = self.order[spread(low, rows)]
+        size = (end - begin)[region]
+        out = []
+        for some in np.array_split(np.arange(len(region)), max(1, int(size.sum()) >> 21)):
+            pair = np.repeat(some, size[some])
+            at = spread(begin[region[some]], size[some])
+            own = self.local[ids[at]]
+            held = np.flatnonzero(own >= 0)
+            if not len(held):
+                continue
+            pair, own = pair[held], own[held]
+            block = (at[held] - origin[region[pair]]) // BLOCK
+            first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (pair[1:] != pair[:-1])])
+            both = np.add.reduceat(self.score[own, row[pair]], first, dtype=np.float64)
+            mass = np.add.reduceat(self.mass[own], first, dtype=np.float64)
+            pair, block = pair[first], block[first]
+            next_ = np.flatnonzero((pair[1:] == pair[:-1]) & (block[1:] == block[:-1] + 1))
+            more, more_mass = both[next_ + 1], mass[next_ + 1]
+            both[next_] += more
+            mass[next_] += more_mass
+            cosine = both / np.sqrt(mass)
+            near = np.flatnonzero(cosine >= COSINE)
+            out.append((region[pair[near]], origin[region[pair[near]]] + block[near] * BLOCK, cosine[near]))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 class Index:
@@ -122,85 +201,82 @@ class Index:
         term, self.item = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
         self.count = np.bincount(term, minlength=len(vocab) + 1)  # the last, which -1 picks, has none
         self.first = np.cumsum(self.count) - self.count
-        self.rows: list[list[tuple[int, list[int]]]] = [[] for _ in texts]
-        for at, part in enumerate(parts):
-            for r, k in enumerate(part.of):
-                if self.rows[k] and self.rows[k][-1][0] == at:
-                    self.rows[k][-1][1].append(r)
-                else:
-                    self.rows[k].append((at, [r]))
+        self.read = Reader(vocab)
 
     def leaks(self, text: str | None) -> list[tuple]:
-        """(item, cosine, share of its words in order, whether its answer is there, first word) of each leaked item."""
-        found, best = words(text), {}
-        ids = np.fromiter(map(self.vocab.get, found, repeat(-1)), np.int32, len(found))
-        ahead = int(self.span.max())
-        for low in range(0, len(ids), SLICE):
-            for k, a, b in self._near(ids[low : low + SLICE + ahead]):
-                a, b = max(0, low + a), min(len(ids), low + b)
-                # no more words can be common in order than occur at all
-                if sum(map(set(ids[a:b].tolist()).__contains__, self.texts[k])) >= COMMON_ANSWERED * len(self.texts[k]):
-                    self._check(k, a, b, ids, best)
-        return [(self.ids[k], *v) for k, v in sorted(best.items())]
-
-    def _near(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, from, to): where windows of the item may lie, by its rarer words."""
-        pos = np.flatnonzero(self.count[ids])
-        if not len(pos):
-            return []
+        return [r[1:] for r in self.search(pa.array([text], pa.string()))]
+
+    def search(self, column: pa.Array) -> list[tuple]:
+        """(row, item, cosine, share of its words in order, whether its answer is there, first word) of each leaked item of each text."""
+        return [(low + d, self.ids[k], *v) for low, ids, starts in self.read.slices(column) for (d, k), v in sorted(self._found(ids, starts).items())]
+
+    def _found(self, ids: np.ndarray, starts: np.ndarray) -> dict[tuple[int, int], tuple]:
+        best: dict[tuple[int, int], tuple] = {}
+        for low in range(0, len(ids), SLICE):  # windows of bounded memory, each with what may follow
+            high = low + SLICE + int(self.span.max())
+            pos = low + np.flatnonzero(self.count[ids[low:high]])
+            if not len(pos):
+                continue
+            item, doc, begin, end = self._near(pos, ids, starts)
+            cosines: dict[tuple[int, int, int], float] = {}
+            for p in self.parts:
+                for r, w, c in zip(*(x.tolist() for x in p.windows(item, begin, end, starts[doc], ids)), strict=True):
+                    key = (int(doc[r]), int(item[r]), w)
+                    cosines[key] = max(c, cosines.get(key, 0.0))
+            for (d, k, w), c in sorted(cosines.items()):
+                self._compare(d, k, w, c, ids, starts, best)
+        return best
+
+    def _near(self, pos: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(item, document, from, to) of the regions where windows of the item may lie, by its rarer words at ``pos``."""
         each = self.count[ids[pos]]
-        ends = np.cumsum(each)
-        item = self.item[np.arange(ends[-1]) + np.repeat(self.first[ids[pos]] - (ends - each), each)]
+        item = self.item[spread(self.first[ids[pos]], each)]
         order = np.argsort(item, kind="stable")
         item, at = item[order], np.repeat(pos, each)[order]
+        doc = np.searchsorted(starts, at, "right") - 1
         last = np.arange(len(item)) + self.need[item] - 1
         some = np.flatnonzero(last < len(item))
-        some = some[(item[last[some]] == item[some]) & (at[last[some]] - at[some] < self.span[item[some]])]
-        out: list[tuple[int, int, int]] = []
-        for k, a, b in zip(item[some].tolist(), at[last[some]].tolist(), at[some].tolist(), strict=True):
-            n = len(self.texts[k])
-            a, b = (a - n) // BLOCK * BLOCK - 2 * BLOCK, ((b + n) // BLOCK + 2) * BLOCK
-            if out and out[-1][0] == k and a <= out[-1][2]:
-                out[-1] = (k, out[-1][1], max(b, out[-1][2]))
-            else:
-                out.append((k, a, b))
-        return out
-
-    def _check(self, k: int, a: int, b: int, ids: np.ndarray, best: dict) -> None:
-        for part, rows in self.rows[k]:
-            p = self.parts[part]
-            own = np.where(ids[a:b] >= 0, p.local[ids[a:b]], -1)
-            at = np.flatnonzero(own >= 0)
-            if not len(at) or (k in best and best[k][1] == 1):
-                continue
-            start, cosine = p.windows(own[at], at, rows)
-            cosine = cosine.max(1)
-            for w in np.flatnonzero(cosine >= COSINE).tolist():
-                self._compare(k, a + int(start[w]) * BLOCK, float(cosine[w]), ids, best)
-
-    def _compare(self, k: int, a: int, cosine: float, ids: np.ndarray, best: dict) -> None:
-        item = self.texts[k]
-        begin = max(0, a - len(item))
-        near = ids[begin : a + 2 * BLOCK + len(item)].tolist()
+        last = last[some]
+        some = some[(item[last] == item[some]) & (doc[last] == doc[some]) & (at[last] - at[some] < self.span[item[some]])]
+        last = some + self.need[item[some]] - 1
+        item, doc, n = item[some], doc[some], self.size[item[some]]
+        origin = starts[doc]
+        begin = np.maximum(origin, origin + ((at[last] - origin - n) // BLOCK - 2) * BLOCK)
+        end = np.minimum(starts[doc + 1], origin + ((at[some] - origin + n) // BLOCK + 2) * BLOCK)
+        # overlapping regions of an item are one: both ends only grow
+        new = np.r_[True, (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] > end[:-1])] if len(item) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        return item[head], doc[head], begin[head], end[np.r_[head[1:], len(item)] - 1] if len(item) else end
+
+    def _compare(self, d: int, k: int, a: int, cosine: float, ids: np.ndarray, starts: np.ndarray, best: dict) -> None:
+        item, was = self.texts[k], best.get((d, k))
+        if was and was[1] == 1:
+            return
+        begin = max(int(starts[d]), a - len(item))
+        near = ids[begin : min(int(starts[d + 1]), a + 2 * BLOCK + len(item))].tolist()
+        # no more words can be common in order than occur at all
+        if sum(map(set(near).__contains__, item)) < COMMON_ANSWERED * len(item):
+            return
         share = common_length(item, near) / len(item)
-        if share < COMMON_ANSWERED or (k in best and share <= best[k][1]):
+        if share < COMMON_ANSWERED or was and share <= was[1]:
             return
         reply = self.answers[k]
         told = common_length(reply, near) >= 0.8 * len(reply)
         if share >= COMMON or told:
-            best[k] = (cosine, share, told, begin)
+            best[d, k] = (cosine, share, told, begin - int(starts[d]))
 
 
 def _counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents. One row per partition and term meets in an aggregation."""
 
     def run(batches):
-        held, total = np.zeros(len(vocab), np.int64), 0
+        held, total, read = np.zeros(len(vocab), np.int64), 0, Reader(vocab)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                found = {vocab[w] for w in set(words(text)) if w in vocab}
-                held[list(found)] += 1
-                total += 1
+            total += b.num_rows
+            for _, ids, starts in read.slices(b.column(0)):
+                doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[ids >= 0]
+                once = np.unique(doc * len(vocab) + ids[ids >= 0])
+                held += np.bincount(once % len(vocab), minlength=len(vocab))
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[held[some], total])], names=["term", "n"])
 
@@ -295,7 +371,8 @@ def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages
         own[k] /= np.sqrt((weight[at] ** 2).sum())
     unit = own / np.linalg.norm(own, axis=1, keepdims=True)
     basis = _basis(sample, local, weight, unit, min(max(rank, len(passages)), len(terms)))
-    return Part([k for k, _ in passages], local, weight.astype(np.float32), (basis * weight[:, None]).astype(np.float32), (own @ basis).astype(np.float32))
+    score = (basis * weight[:, None]) @ (own @ basis).T
+    return Part([k for k, _ in passages], local, weight**2, score.astype(np.float32))
 
 
 @dataclass
@@ -331,7 +408,7 @@ def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK, corpus: C
     vocab = {w: k for k, w in enumerate(sorted(own))}
     at = np.array([corpus.vocab[w] for w in vocab])
     for p in parts:
-        p.local = p.local[at]
+        p.local = np.append(p.local[at], np.int32(-1))
     return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, weight[at], parts)
 
 
@@ -363,8 +440,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches):
             for b in batches:
-                rows = [(d, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in index.leaks(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                rows = index.search(b.column(1))
+                doc = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()), 1))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         return text.mapInArrow(run, SCHEMA) if index else None
 
