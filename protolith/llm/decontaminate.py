@@ -19,15 +19,12 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
-from itertools import repeat
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +36,13 @@ ITEMS, ROWS = 4000, 256
 RANK, SAMPLE, KEPT = 192, 20_000, 0.8
 #: Words of a block; a window is two blocks. So many words are searched at once.
 BLOCK, SLICE = 16, 1 << 20
-#: Bytes of texts that are read at once; tokens whose words a worker remembers.
-BYTES, TOKENS = 8 << 20, 500_000
+#: Characters of texts that are read at once; odd numbers of the words' hash and of its place in a table.
+CHARS, ODD, MIX = 1 << 20, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Share of an item's words, the rarest, that the inverted index holds.
 RARE = 0.6
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
 COSINE, COMMON, COMMON_ANSWERED = 0.25, 0.6, 0.5
-_WORD = re.compile(r"\w+")
+_WORD, _OTHER = re.compile(r"\w+"), re.compile(r"\W")
 
 
 def words(text: str | None) -> list[str]:
@@ -81,49 +78,97 @@ def common_length(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(1)
+def _lowered() -> np.ndarray:
+    """The lower-case code point of each character of a word, 0 for any other character."""
+    out = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if (x := chr(c)).isalnum() or x == "_":
+            out[c] = ord(x.lower()[0])
+    return out
+
+
+_made: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    """``size`` powers of ``base`` modulo 2^64 from the 0th on; a worker keeps the longest run."""
+    if len(_made.get(base, ())) < size:
+        out = np.full(1 << max(16, (size - 1).bit_length()), base, np.uint64)
+        out[0] = 1
+        _made[base] = np.cumprod(out, dtype=np.uint64)
+    return _made[base][:size]
+
+
 class Reader:
-    """Term ids of whole texts: a column is cut at white space, and each distinct token's words are looked up once."""
+    """Term ids of whole texts. A slice of a column is one array of code points: words are its runs of word
+    characters, and a sum of code points times powers of an odd number, modulo 2^64, is looked up as a word's hash."""
 
     def __init__(self, vocab: dict[str, int]):
-        self.vocab = vocab
-        self.known: dict[str, int] = {}  # number of each remembered token
-        self.terms, self.count = array("i"), array("q")
-        self.kept = (0, 0)  # terms and tokens to remember
-
-    def _numbers(self, tokens: list[str]) -> np.ndarray:
-        """A number for each token, whose words are in ``terms``; those beyond ``TOKENS`` are forgotten at the next call."""
-        del self.terms[self.kept[0] :], self.count[self.kept[1] :]
-        out = np.fromiter(map(self.known.get, tokens, repeat(-1)), np.int64, len(tokens))
-        for k in np.flatnonzero(out < 0).tolist():
-            terms = [self.vocab.get(w, -1) for w in words(tokens[k])]
-            out[k] = len(self.count)
-            self.terms.extend(terms)
-            self.count.append(len(terms))
-            if len(self.known) < TOKENS and len(tokens[k]) <= 64 and self.kept[1] == len(self.count) - 1:
-                self.known[tokens[k]] = len(self.count) - 1
-                self.kept = (len(self.terms), len(self.count))
+        self.shift, self.hash = np.uint64(64 - max(10, (8 * len(vocab)).bit_length())), np.zeros(0, np.uint64)
+        self.slot = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        known = sorted(vocab, key=vocab.get)
+        if known:
+            self.hash = self._hashes("\0".join(known))[0]
+            if len(np.unique(self.hash)) < len(known):
+                raise ValueError("two words have one hash")
+        for k, at in enumerate(self._slots(self.hash).tolist()):
+            while self.slot[at] >= 0:
+                at = (at + 1) % len(self.slot)
+            self.slot[at] = k
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(MIX)) >> self.shift).astype(np.int64)
+
+    @staticmethod
+    def _hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each word, and where it starts."""
+        low = _lowered()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        edge = np.flatnonzero(np.diff(np.r_[False, low != 0, False]))
+        total = np.r_[np.uint64(0), np.cumsum(low * _powers(ODD, len(low)), dtype=np.uint64)]
+        begin, end = edge[::2], edge[1::2]
+        return (total[end] - total[begin]) * _powers(pow(ODD, -1, 1 << 64), len(low))[begin], begin
+
+    def _ids(self, h: np.ndarray) -> np.ndarray:
+        at = self._slots(h)
+        out = self.slot[at]
+        wrong = np.flatnonzero(out >= 0)
+        wrong = wrong[self.hash[out[wrong]] != h[wrong]]
+        while len(wrong):  # the next slots, until a word or a gap is met
+            at[wrong] = (at[wrong] + 1) % len(self.slot)
+            out[wrong] = self.slot[at[wrong]]
+            wrong = wrong[out[wrong] >= 0]
+            wrong = wrong[self.hash[out[wrong]] != h[wrong]]
         return out
 
     def slices(self, column: pa.Array):
-        """(first row, ids of all words one after another with -1 for other words, where each row starts and the end), of at most ``BYTES`` unless one text is longer."""
-        column = pc.fill_null(column, "")
-        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
-        low = 0
-        while low < len(column):
-            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + BYTES, "right")))
-            yield low, *self._read(column.slice(low, high - low))
-            low = high
-
-    def _read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.utf8_split_whitespace(column.cast(pa.large_string()))
-        tokens = lists.flatten().dictionary_encode()
-        code = self._numbers(tokens.dictionary.to_pylist())[tokens.indices.to_numpy()]
-        count, terms = np.array(self.count), np.array(self.terms)
-        n = count[code]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = terms[spread((np.cumsum(count) - count)[code], n)]
-        starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-        return ids, ends[starts]
+        """(first row, ids of all words one after another with -1 for other words, where each row starts and the end), of at most ``CHARS`` unless one text is longer."""
+        held, size, low = [], 0, 0
+        for k, text in enumerate(column.to_pylist()):
+            text = text or ""
+            if "\u0130" in text or "\u03a3" in text:  # the characters whose lower case is longer or depends on what follows
+                text = text.lower()
+            if held and size + len(text) > CHARS:
+                yield low, *self._read(held)
+                held, size, low = [], 0, k
+            held.append(text)
+            size += len(text)
+        if held:
+            yield low, *self._read(held)
+
+    def _read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(texts) > 1 or len(texts[0]) <= CHARS:
+            h, begin = self._hashes("\0".join(texts))
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            return self._ids(h), np.searchsorted(begin, starts)
+        text, found, at = texts[0], [], 0
+        while at < len(text):  # a long text is cut between words
+            cut = _OTHER.search(text, min(at + CHARS, len(text)))
+            end = cut.start() if cut else len(text)
+            found.append(self._ids(self._hashes(text[at:end])[0]))
+            at = end
+        ids = np.concatenate(found)
+        return ids, np.array([0, len(ids)])
 
 
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:

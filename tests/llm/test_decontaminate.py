@@ -23,6 +23,23 @@ def test_common_length():
         assert D.common_length(a, b) == lcs(a, b)
 
 
+def test_reader_equals_words(monkeypatch):
+    """Ids of whole texts, cut or not, against the pattern; every character of a word and odd case rules."""
+    rng = random.Random(3)
+    bits = [*"abAB_09 .,\n\t-'", "é", "É", "İ", "ΑΣ", "ΣΑ", "ß", "ẞ", "漢", "字", "😀", "\u0301", "\u00a0", "ǅ", "²", "Ⅷ", "\0", "ﬁ", "the ", "word "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + [None, "", " ", "a" * 5000]
+    every = "".join(chr(c) + " x " for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    vocab = {w: k for k, w in enumerate(sorted({w for t in texts for w in D.words(t)})[::2])}
+    read = D.Reader(vocab)
+    for chars in (1 << 20, 64):
+        monkeypatch.setattr(D, "CHARS", chars)
+        got = {low + d: ids[starts[d] : starts[d + 1]].tolist() for low, ids, starts in read.slices(D.pa.array(texts)) for d in range(len(starts) - 1)}
+        assert [got[k] for k in range(len(texts))] == [[vocab.get(w, -1) for w in D.words(t)] for t in texts]
+    whole = {w: k for k, w in enumerate(sorted(set(D.words(every))))}
+    [(_, ids, _)] = D.Reader(whole).slices(D.pa.array([every]))
+    assert ids.tolist() == [whole[w] for w in D.words(every)]
+
+
 def test_leaks_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = {r.item_id: " " + " ".join(D.words(r.text)) + " " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
