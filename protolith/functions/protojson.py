@@ -7,18 +7,23 @@ import json
 import math
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import ops as O
+from . import wire as W
 from .descriptors import Field, Schema, fields, scalar, unpacked
-from .types import TYPES, WireError
+from .types import TYPES, WIDE, WireError, null_where
 
 MAX_DEPTH = 255
 OMIT = object()
 # Messages that render as a plain value, by the type of their field 1.
 WRAPPERS = {f".google.protobuf.{name}Value": kind for name, kind in (("Double", "double"), ("Float", "float"), ("Int64", "int64"), ("UInt64", "uint64"), ("Int32", "int32"), ("UInt32", "uint32"), ("Bool", "bool"), ("String", "string"), ("Bytes", "bytes"))}
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_FIRST, _LAST = (int((datetime(*x, tzinfo=timezone.utc) - _EPOCH).total_seconds()) for x in ((1, 1, 1), (9999, 12, 31, 23, 59, 59)))
 
 
 def _last(data: bytes, kinds: dict[int, str]) -> dict[int, object]:
@@ -201,14 +206,100 @@ class Renderer:
         return None if data is None else json.dumps(self.message(name, bytes(data)), separators=(",", ":"), ensure_ascii=False)
 
 
+#: Characters that a JSON string escapes.
+_ESCAPED = r'["\\\x00-\x1f\x7f]'
+
+
+def _quoted(text: pa.Array) -> pa.Array:
+    """JSON strings; only texts that need escapes are looked at one by one."""
+    odd = pc.fill_null(pc.match_substring_regex(text, _ESCAPED), False)
+    out = pc.binary_join_element_wise('"', text, '"', "")
+    if pc.any(odd).as_py():
+        shown = [json.dumps(x, ensure_ascii=False) for x in text.filter(odd).to_pylist()]
+        out = pc.replace_with_mask(out, odd, pa.array(shown, pa.string()))
+    return out
+
+
+class BatchRenderer:
+    """Renders messages a batch at a time, a text column per field.
+
+    For messages without oneofs, maps, groups, recursion and well-known types but Timestamp; ``suits`` says whether a type
+    is one. All others go through ``Renderer``, whose texts are the same.
+    """
+
+    def __init__(self, schema: Schema, numbers: bool = False):
+        self.schema, self.numbers, self.plain = schema, numbers, Renderer(schema, numbers).plain
+
+    def suits(self, name: str, above: tuple[str, ...] = ()) -> bool:
+        if name == ".google.protobuf.Timestamp":
+            return True
+        m = self.schema.messages.get(name)
+        if m is None or name in above or m.map_entry or name.startswith(".google.protobuf."):
+            return False
+        return all(f.oneof is None and f.kind != "group" and (f.kind != "message" or self.suits(f.type_name, (*above, name))) for f in m.fields)
+
+    def values(self, f: Field, x: pa.Array) -> pa.Array:
+        """JSON texts of a field's values; a null stays null."""
+        kind = f.kind
+        if kind == "message":
+            return self.message(f.type_name, x)
+        if kind == "string":
+            return _quoted(x)
+        if kind in ("float", "double", "bytes", "enum"):
+            d = pc.dictionary_encode(x)
+            shown = [None if v is None else json.dumps(self.plain(kind, v, f.type_name), ensure_ascii=False) for v in d.dictionary.to_pylist()]
+            shown = [None if v == "null" else v for v in shown]
+            return pa.array(shown, pa.string()).take(d.indices)
+        text = pc.cast(x, pa.string())
+        return text if self.numbers or kind not in WIDE else pc.binary_join_element_wise('"', text, '"', "")
+
+    def message(self, name: str, column: pa.Array) -> pa.Array:
+        rows = len(column)
+        e, bad = W.parse(column)
+        if name == ".google.protobuf.Timestamp":
+            seconds, nanos = (O.get(TYPES[k], e, bad, np.full(rows, n), pa.array([0] * rows)).to_numpy(zero_copy_only=False).astype(np.int64) for n, k in ((1, "int64"), (2, "int32")))
+            W.fail(bad)
+            if rows and (seconds.min() < _FIRST or seconds.max() > _LAST):
+                raise WireError("Timestamp is out of range")
+            days = pa.array(np.datetime_as_string(seconds.astype("datetime64[s]")), pa.string())
+            some = np.unique(nanos, return_inverse=True)
+            out = pc.binary_join_element_wise('"', days, pa.array([_fraction(int(n)) for n in some[0]], pa.string()).take(pa.array(some[1])), 'Z"', "")
+            return null_where(out, np.asarray(column.is_null()))
+        parts = []
+        for f in self.schema.message(name).fields:
+            t, n = TYPES[f.kind], np.full(rows, f.number)
+            if f.repeated:
+                lists = O.repeated(t, e, bad, n)
+                shown = pc.fill_null(self.values(f, lists.flatten()), "null")
+                text = pc.binary_join_element_wise("[", pc.binary_join(pa.ListArray.from_arrays(lists.offsets, shown), ","), "]", "")
+            else:
+                there = O.get(t, e, bad, n, None)
+                text = self.values(f, there)
+                if not f.presence:
+                    # an absent field shows its zero, a value that JSON cannot say is left out
+                    zero = json.dumps(self.plain(f.kind, t.zero, f.type_name), ensure_ascii=False)
+                    text = pc.if_else(O.has(t, e, bad, n), text, zero)
+            W.fail(bad)
+            key = json.dumps(str(f.number) if self.numbers else f.json_name, ensure_ascii=False)
+            parts.append(pc.binary_join_element_wise(f"{key}:", text, ""))
+        body = pc.binary_join_element_wise(*parts, ",", null_handling="skip") if parts else pa.array([""] * rows, pa.string())
+        return null_where(pc.binary_join_element_wise("{", body, "}", ""), np.asarray(column.is_null()))
+
+
 def _render(schema: Schema, name: str, source, numbers: bool, on_error: str) -> Column:
     schema.message(name) if not name.startswith(".google.protobuf.") else None
     text = schema.to_json()
-    held: list[Renderer] = []
+    held: list = []
 
     def run(column: pa.Array) -> pa.Array:
         if not held:
-            held.append(Renderer(Schema.from_json(text), numbers))
+            read = Schema.from_json(text)
+            held.extend((Renderer(read, numbers), BatchRenderer(read, numbers), BatchRenderer(read, numbers).suits(name)))
+        if held[2]:
+            try:
+                return held[1].message(name, column)
+            except WireError:  # the rows one by one say which are wrong
+                pass
         out = []
         for x in column.to_pylist():
             try:
@@ -234,6 +325,13 @@ def to_number_json(schema: Schema, name: str, source, on_error: str = "raise") -
 
 def message_to_json_batch(schemas: pa.Array, names: pa.Array, messages: pa.Array) -> pa.Array:
     """The SQL form: the schema text is an argument, nearly always the same for all rows."""
+    if len(schemas) and schemas[0].is_valid and names[0].is_valid and pc.all(pc.equal(schemas, schemas[0])).as_py() and pc.all(pc.equal(names, names[0])).as_py():
+        whole = BatchRenderer(Schema.from_json(schemas[0].as_py()))
+        if whole.suits(names[0].as_py()) and not schemas.null_count and not names.null_count:
+            try:
+                return whole.message(names[0].as_py(), messages)
+            except WireError:
+                pass
     held: dict[str, Renderer] = {}
     out = []
     for text, name, data in zip(schemas.to_pylist(), names.to_pylist(), messages.to_pylist(), strict=True):

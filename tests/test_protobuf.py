@@ -254,3 +254,50 @@ def test_json_matches_protojson():
     assert shown.text(".t.T", None) is None
     with pytest.raises(WireError, match="not found in descriptor set"):
         shown.text(".t.Missing", b"")
+
+
+def test_batches_render_as_rows_do():
+    """The same texts a batch at a time, for messages that suit it, on random messages with absent and odd values."""
+    from google.protobuf import timestamp_pb2
+
+    from protolith.functions.descriptors import Schema
+    from protolith.functions.protojson import BatchRenderer, Renderer
+
+    fds = pb2.FileDescriptorSet()
+    timestamp_pb2.DESCRIPTOR.CopyToProto(fds.file.add())
+    f = fds.file.add(name="u.proto", package="u", syntax="proto3", dependency=["google/protobuf/timestamp.proto"])
+    kind = f.enum_type.add(name="E")
+    kind.value.add(name="E_ZERO", number=0)
+    kind.value.add(name="E_ONE", number=1)
+    inner = f.message_type.add(name="Inner")
+    inner.field.add(name="word", number=1, type=KINDS["string"], label=1)
+    t = f.message_type.add(name="T")
+    for k, (name, code) in enumerate(KINDS.items(), 1):
+        t.field.add(name=f"f_{name}", number=k, type=code, label=1)
+        t.field.add(name=f"r_{name}", number=100 + k, type=code, label=3)
+    t.field.add(name="e", number=50, type=14, type_name=".u.E", label=1)
+    t.field.add(name="at", number=70, type=11, type_name=".google.protobuf.Timestamp", label=1)
+    t.field.add(name="inner", number=71, type=11, type_name=".u.Inner", label=1)
+    t.field.add(name="many", number=72, type=11, type_name=".u.Inner", label=3)
+    pool = descriptor_pool.DescriptorPool()
+    for x in fds.file:
+        pool.Add(x)
+    cls = message_factory.GetMessageClass(pool.FindMessageTypeByName("u.T"))
+    schema, rng, raw = Schema.from_descriptor_set(fds.SerializeToString()), random.Random(6), [None, b""]
+    for _ in range(80):
+        m = cls(e=rng.choice((0, 1, 7)))
+        for name in KINDS:
+            if rng.random() < 0.5:
+                setattr(m, f"f_{name}", values(rng, name, 1)[0])
+            getattr(m, f"r_{name}").extend(values(rng, name, rng.randint(0, 2)))
+        if rng.random() < 0.5:
+            m.at.seconds, m.at.nanos = rng.randint(-6 * 10**10, 2 * 10**11), rng.choice((0, 89_000_000, 5, 120_000))
+            m.inner.word = rng.choice(("", 'a"b', "é\n", "back\\slash", "\x7f", "plain"))
+        for _ in range(rng.randint(0, 2)):
+            m.many.add(word="w")
+        raw.append(m.SerializeToString())
+    raw.append(cls(f_double=float("nan"), r_double=[1.5, float("inf")], f_float=float("-inf")).SerializeToString())
+    for numbers in (False, True):
+        batch, rows = BatchRenderer(schema, numbers), Renderer(schema, numbers)
+        assert batch.suits(".u.T") and not batch.suits(".u.Missing")
+        assert batch.message(".u.T", pa.array(raw, pa.binary())).to_pylist() == [rows.text(".u.T", x) for x in raw]
