@@ -1,11 +1,13 @@
-"""Bit utilities of the wire format as native expressions. Unsigned 64-bit values are raw longs."""
+"""Bit utilities of the wire format as native expressions, IEEE bits through NumPy. Unsigned 64-bit values are raw longs."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .types import WIRE_NAMES
+from .types import TYPES, WIRE_NAMES, null_where
 
 _HEX = lambda c, n: F.unhex(F.lpad(F.hex(c), n, "0"))
 
@@ -80,33 +82,55 @@ def zigzag_encode(v: Column) -> Column:
 uint64_as_sint64, sint64_as_uint64 = zigzag_decode, zigzag_encode
 
 
+def _byte(bits: Column, k: int) -> Column:
+    return F.shiftrightunsigned(bits, 8 * k).bitwiseAND(F.lit(0xFF).cast("bigint"))
+
+
+def _swapped(bits: Column, size: int) -> Column:
+    out = _byte(bits, size - 1)
+    for k in range(size - 1):
+        out = out.bitwiseOR(F.shiftleft(_byte(bits, k), 8 * (size - 1 - k)))
+    return out
+
+
 def swap_endian_32(v: Column) -> Column:
-    return int32_as_uint32(F.java_method(F.lit("java.lang.Integer"), F.lit("reverseBytes"), uint32_as_int32(v)).cast("int"))
+    return _swapped(v.cast("bigint"), 4)
 
 
 def swap_endian_64(bits: Column) -> Column:
-    return F.java_method(F.lit("java.lang.Long"), F.lit("reverseBytes"), bits).cast("bigint")
+    return _swapped(bits, 8)
+
+
+def _as(kind: str, spark: str):
+    """A column through a kernel of ``types``: bits to a value or a value to bits. No native function reads IEEE bits."""
+    t = TYPES[kind]
+
+    def decode(bits: pa.Array) -> pa.Array:
+        gone = np.asarray(bits.is_null())
+        return null_where(t.decode(bits.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), gone)
 
+    def encode(x: pa.Array) -> pa.Array:
+        return pa.array(t.bits(x).view(np.int64))
 
-def _finite(x: Column) -> Column:
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    return F.arrow_udf(encode if spark == "bigint" else decode, spark)
 
 
 def uint64_as_double(bits: Column) -> Column:
-    return _finite(F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double"))
+    """Infinities and NaN read as null."""
+    return _as("double", "double")(bits)
 
 
 def uint32_as_float(bits: Column) -> Column:
-    return _finite(F.java_method(F.lit("java.lang.Float"), F.lit("intBitsToFloat"), uint32_as_int32(bits)).cast("float"))
+    return _as("float", "float")(bits)
 
 
 def double_as_uint64(x: Column) -> Column:
     """Null becomes NaN."""
-    return F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(x, F.lit(float("nan")))).cast("bigint")
+    return _as("double", "bigint")(x)
 
 
 def float_as_uint32(x: Column) -> Column:
-    return int32_as_uint32(F.java_method(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), F.coalesce(x, F.lit(float("nan")).cast("float"))).cast("int"))
+    return _as("float", "bigint")(x)
 
 
 def uint32_to_bin(v: Column) -> Column:

@@ -163,6 +163,31 @@ def number_json(name: str, data: bytes, source_info: bool = False) -> dict:
     return {str(n): out[n] for n in sorted(out)}
 
 
+def _varint(v: int) -> bytes:
+    out = bytearray()
+    v &= 0xFFFFFFFFFFFFFFFF
+    while v > 127:
+        out.append(v & 127 | 128)
+        v >>= 7
+    return bytes((*out, v))
+
+
+def from_number_json(name: str, d: dict) -> bytes:
+    """A message of descriptor.proto from its number-JSON: ``number_json`` backwards."""
+    out = b""
+    for key in sorted(d, key=int):
+        n, (many, kind) = int(key), _OWN[name][int(key)]
+        for v in d[key] if many else [d[key]]:
+            if kind in _OWN or kind in ("string", "bytes"):
+                data = from_number_json(kind, v) if kind in _OWN else v.encode() if kind == "string" else base64.b64decode(v)
+                out += _varint(n << 3 | 2) + _varint(len(data)) + data
+            elif kind == "double":
+                out += _varint(n << 3 | 1) + struct.pack("<d", v)
+            else:
+                out += _varint(n << 3) + _varint(int(v))
+    return out
+
+
 @dataclass
 class Field:
     number: int
@@ -233,6 +258,9 @@ class Schema:
     def from_descriptor_set(cls, data: bytes, source_info: bool = False) -> Schema:
         return cls(number_json("FileDescriptorSet", bytes(data), source_info).get("1", []))
 
+    def to_descriptor_set(self) -> bytes:
+        return from_number_json("FileDescriptorSet", {"1": self.files} if self.files else {})
+
     @classmethod
     def from_json(cls, text: str) -> Schema:
         version, files, _ = json.loads(text)

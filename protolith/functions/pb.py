@@ -116,6 +116,10 @@ def clear(source, n: int, type_name: str = "int32", **o) -> Column:
     return _call("clear", source, type_name, _lit(n), **o)
 
 
+def clear_repeated(source, n: int, type_name: str = "int32", **o) -> Column:
+    return _call("clear_repeated", source, type_name, _lit(n), **o)
+
+
 def set_repeated(source, n: int, type_name: str, values, packed: bool = False, **o) -> Column:
     return _call("set_repeated", source, type_name, _lit(n), _lit(values), *_packed(type_name, packed), **o)
 
@@ -298,6 +302,6 @@ def build(fields: Sequence[tuple]) -> Column:
 
 
 __all__ = [
-    "ELEMENTS", "MESSAGE", "WIRE_JSON", "add", "add_all", "as_json_array", "as_json_string_array", "build", "clear", "count", "edit", "element",
+    "ELEMENTS", "MESSAGE", "WIRE_JSON", "add", "add_all", "as_json_array", "as_json_string_array", "build", "clear", "clear_repeated", "count", "edit", "element",
     "elements", "extract", "from_wire", "get", "get_repeated", "has", "insert", "new", "remove", "replace", "set", "set_repeated", "wire_json", "wire_json_new",
 ]

@@ -156,10 +156,10 @@ def _arrays(spark, sf_dir):
     return order_parts(spark, sf_dir).select("l_orderkey", pb.as_json_array("msg", 7, "int64").alias("a"), pb.as_json_string_array("msg", 7, "int64").alias("s"))
 
 
-@query("pb_float_list", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first_v FROM embeddings")
+@query("pb_float_list", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first_v, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1048576) AS BIGINT)), ',') AS all_v FROM embeddings")
 def _floats(spark, sf_dir):
     d = _table(spark, sf_dir, "embeddings").select("vec_id", pb.build([(1, "int64", F.col("vec_id")), (2, "float", F.col("embedding")), (3, "sint32", F.col("label"))]).alias("msg"))
-    return d.select("vec_id", pb.count("msg", 2, "float").alias("n"), pb.element("msg", 2, "float", 0).cast("double").alias("first_v"))
+    return d.select("vec_id", pb.count("msg", 2, "float").alias("n"), pb.element("msg", 2, "float", 0).cast("double").alias("first_v"), F.array_join(F.transform(pb.get_repeated("msg", 2, "float"), lambda x: F.floor(x.cast("double") * 1048576).cast("string")), ",").alias("all_v"))
 
 
 # ---- relational operators over extracted fields
@@ -254,10 +254,10 @@ def _wire_json(spark, sf_dir):
     return d.select("c_custkey", pb.wire_json("msg").alias("j"), (pb.from_wire(pb.wire_json("msg")) == F.col("msg")).alias("same"))
 
 
-@query("pb_to_message_bytes", "SELECT n_nationkey, '08' || lpad(hex(n_nationkey), 2, '0') || '1202' || hex(substr(n_name, 1, 2)) AS h FROM nation")
+@query("pb_to_message_bytes", "SELECT n_nationkey, '08' || lpad(hex(n_nationkey), 2, '0') || '12' || lpad(hex(length(n_name)), 2, '0') || hex(n_name) AS h FROM nation")
 def _bytes(spark, sf_dir):
     d = _table(spark, sf_dir, "nation")
-    return d.select("n_nationkey", F.hex(pb.build([(1, "int32", F.col("n_nationkey")), (2, "string", F.substring("n_name", 1, 2))])).alias("h"))
+    return d.select("n_nationkey", F.hex(pb.build([(1, "int32", F.col("n_nationkey")), (2, "string", F.col("n_name"))])).alias("h"))
 
 
 @query("pb_which_oneof", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'number' ELSE 'word' END AS w FROM customer")

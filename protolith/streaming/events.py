@@ -43,3 +43,13 @@ def windowed(events: DataFrame, length: str = "1 hour", delay: str = "10 minutes
         .agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Events of a user with pauses shorter than ``gap`` as sessions, for batches and for streams."""
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy(F.session_window("ts", gap).alias("w"), "user_id")
+        .agg(F.count("*").alias("n"))
+        .select("user_id", F.col("w.start").alias("start"), "n")
+    )

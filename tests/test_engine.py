@@ -115,3 +115,43 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = windowed(decode_events(stream), delay="10000 days").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(repr, spark.table("windows").collect())) == sorted(map(repr, batch))
+
+
+def test_json_text_to_messages(spark):
+    from protolith.operators.frame import from_json_text
+    from protolith.plans.samples import FORMS_SCHEMA
+
+    rows = [('{"nationKey":3,"kind":"7","extra":1}',), ('{"kind":"KIND_ONE","at":"1969-12-31T23:59:59.5Z","letters":["é"]}',), ("{}",), (None,), ("no json",)]
+    d = spark.createDataFrame(rows, "j string").select(F.hex(from_json_text(FORMS_SCHEMA, ".forms.Nation", "j")).alias("h"))
+    assert [r.h for r in d.collect()] == ["08032807", "2202C3A928013A1108FFFFFFFFFFFFFFFFFF01" + "1080CAB5EE01", "", None, None]
+
+
+def test_entry_without_the_pipeline_or_the_subpackage(spark, tmp_path):
+    """The entry file alone decides what is there: each part can be missing by itself."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for gone, left in ((("protolith/llm",), "pipeline"), (("corpus_pipeline.py", "protolith/llm"), None), (("corpus_pipeline.py",), "op5_secrets")):
+        copy = tmp_path / "-".join(gone).replace("/", "_")
+        copy.mkdir()
+        for name in ("protolith", "__spark_entry__.py", "corpus_pipeline.py"):
+            (shutil.copytree if os.path.isdir(f"{root}/{name}") else shutil.copy)(f"{root}/{name}", copy / name)
+        for name in gone:
+            (shutil.rmtree if os.path.isdir(copy / name) else os.remove)(copy / name)
+        code = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print('pb_get_int32' in q, 'op5_secrets' in q, 'pipeline' in q)"
+        said = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=100, env={**os.environ, "PYTHONPATH": str(copy)})
+        assert said.stdout.split() == ["True", str(left == "op5_secrets"), "False"], said.stderr
+
+
+def test_streamed_sessions_equal_batch(spark, tmp_path):
+    from protolith.streaming.events import sessions
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    encode_events(events).write.parquet(str(tmp_path / "in"))
+    batch = sessions(decode_events(spark.read.parquet(str(tmp_path / "in"))), "6 hours").collect()
+    stream = spark.readStream.schema("ts timestamp, msg binary").parquet(str(tmp_path / "in"))
+    q = sessions(decode_events(stream), "6 hours", "10000 days").writeStream.format("memory").queryName("sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(repr, spark.table("sessions").collect())) == sorted(map(repr, batch))

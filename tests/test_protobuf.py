@@ -301,3 +301,17 @@ def test_batches_render_as_rows_do():
         batch, rows = BatchRenderer(schema, numbers), Renderer(schema, numbers)
         assert batch.suits(".u.T") and not batch.suits(".u.Missing")
         assert batch.message(".u.T", pa.array(raw, pa.binary())).to_pylist() == [rows.text(".u.T", x) for x in raw]
+
+
+def test_descriptor_sets_both_ways():
+    from protolith.functions.descriptors import Schema
+    from protolith.plans.samples import FORMS_SCHEMA, ORDERS
+
+    for schema in (FORMS_SCHEMA, ORDERS):
+        data = schema.to_descriptor_set()
+        assert Schema.from_descriptor_set(data).to_json() == schema.to_json()
+        assert pb2.FileDescriptorSet.FromString(data).SerializeToString() == data
+    pool = descriptor_pool.DescriptorPool()
+    for f in pb2.FileDescriptorSet.FromString(FORMS_SCHEMA.to_descriptor_set()).file:
+        pool.Add(f)
+    assert pool.FindMessageTypeByName("forms.Shape").fields_by_name["counts"].message_type.GetOptions().map_entry
