@@ -35,9 +35,9 @@ ITEMS, ROWS = 4000, 256
 #: Least latent dimensions, where rows are fewer; sampled passages for the basis; least share of a row's energy in it.
 RANK, SAMPLE, KEPT = 192, 20_000, 0.8
 #: Words of a block; a window is two blocks. So many words are searched at once.
-BLOCK, SLICE = 16, 1 << 20
+BLOCK, SLICE = 16, 1 << 18
 #: Characters of texts that are read at once; odd numbers of the words' hash and of its place in a table.
-CHARS, ODD, MIX = 1 << 20, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+CHARS, ODD, MIX = 1 << 19, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Share of an item's words, the rarest, that the inverted index holds.
 RARE = 0.6
 #: Least cosine of a candidate; least share of an item's words in order, alone and with its answer found.
@@ -200,7 +200,7 @@ class Part:
         row = self.order[spread(low, rows)]
         size = (end - begin)[region]
         out = []
-        for some in np.array_split(np.arange(len(region)), max(1, int(size.sum()) >> 21)):
+        for some in np.array_split(np.arange(len(region)), max(1, int(size.sum()) >> 19)):
             pair = np.repeat(some, size[some])
             at = spread(begin[region[some]], size[some])
             own = self.local[ids[at]]
