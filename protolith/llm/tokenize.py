@@ -17,11 +17,14 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Units that a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST = 250_000, 48
+#: Units that a worker remembers, by kind of encoder, and the longest of them in characters.
+REMEMBERED, LONGEST = {"byte": 600_000, "word": 250_000}, 48
+#: Places where a unit leaves a mark when it is met first (a power of two; units that share one are remembered too early, no more).
+MET = 1 << 22
 
 _CONTROL = re.compile("[\x1c-\x1f]")
-_ODD = re.compile(r"^\s|\s$|[^\S \n]| \s|\n\s")
+# White space other than blank and line feed.
+_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -39,12 +42,18 @@ def _byte_names() -> dict[int, str]:
 _NAMES = _byte_names()
 
 
+def _odd(text: str) -> bool:
+    """Whether there is white space that is no single blank or line feed between words."""
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _OTHER.search(text) is not None
+
+
 class _Units(dict):
     """Ids of units as they are asked for. Plain words go straight to the model, all others through the whole tokenizer."""
 
-    def __init__(self, tokenizer, prefix: str = "", lower: bool = False):
-        self.tokenizer, self.prefix, self.lower = tokenizer, prefix, lower
+    def __init__(self, tokenizer, room: int, prefix: str = "", lower: bool = False):
+        self.tokenizer, self.room, self.prefix, self.lower = tokenizer, room, prefix, lower
         self.model, self.marks = tokenizer.model, {}
+        self.met = bytearray(MET)
 
     def piece(self, text: str, prefix: str = "") -> bytes:
         named = text if text.isascii() else "".join(map(_NAMES.__getitem__, text.encode()))
@@ -61,13 +70,16 @@ class _Units(dict):
             word, marks = m.groups()
             if marks:
                 ids = self[word]
-                if marks not in self.marks and len(self.marks) < REMEMBERED:
+                if marks not in self.marks and len(self.marks) < self.room:
                     self.marks[marks] = self.piece(marks)
                 ids += self.marks.get(marks) or self.piece(marks)
             else:
                 ids = self.piece(word.lower() if self.lower else word, self.prefix)
-        if len(self) < REMEMBERED and len(unit) <= LONGEST:
-            self[unit] = ids
+        if len(self) < self.room and len(unit) <= LONGEST:
+            at = hash(unit) & (len(self.met) - 1)
+            if self.met[at]:  # at the second meeting: most units of a corpus are met but once
+                self[unit] = ids
+            self.met[at] = 1
         return ids
 
 
@@ -88,8 +100,9 @@ class Encoder:
             raise ValueError("added tokens that depend on what is around them cannot be cut out")
         self.added = {x.content: array("I", [k]).tobytes() for k, x in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        self.first = _Units(t, lower=kind == "Sequence")
-        self.spaced = _Units(t, " ")
+        room = REMEMBERED["word" if kind == "Sequence" else "byte"]
+        self.first = _Units(t, room, lower=kind == "Sequence")
+        self.spaced = _Units(t, room, " ")
 
     def encode(self, text: str) -> bytes:
         if not any(x in text for x in self.added):
@@ -105,7 +118,7 @@ class Encoder:
         if not text:
             return b""
         out, first, spaced = [], self.first.__getitem__, self.spaced.__getitem__
-        if _ODD.search(text):
+        if _odd(text):
             head, *rest = _SPACE.split(text)
             return first(head) + b"".join(map(spaced, rest))
         feed = b""
