@@ -42,7 +42,6 @@ def _class(chars: str) -> np.ndarray:
 _UPPER, _DIGIT = _class("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class("0123456789")
 _HIGH = (np.arange(256) >= 128).astype(np.int64)
 _CLASSES = np.stack([_UPPER, _DIGIT, _HIGH, _class("!"), _class("|"), _class("#$%&*@^~+="), _class(".?;:"), _class(","), _class("/\\"), _class("\"'"), _class("()[]{}<>"), _class("_"), _class(" \t\n\r")])
-STEP = 1 << 16
 
 
 def features(text: str | None) -> np.ndarray:
@@ -208,7 +207,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``.
+
+    Every row is judged by its own text: a null or empty one as a text without words, repeated rows and ids each.
+    An empty table stays empty; without labels every score is one half, and all rows stay.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):

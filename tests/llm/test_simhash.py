@@ -1,13 +1,31 @@
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from protolith.llm import simhash as S
 
 SF = "/root/testdata/sf0.001"
 
 
+def slow_fingerprint(text):
+    """The contract word by word, in Python integers."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for t in [*texts, None, "", " ", "A", "a b", "a b c", "É é\u00a0x \x0by", "\x1ca b"]:
+        assert S.fingerprint(t) == slow_fingerprint(t), t
+
+
 def brute(fps: dict[int, int]) -> dict[int, int]:
     ids = sorted(fps)
     comp = {i: i for i in ids}
