@@ -11,19 +11,29 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import wire as W
-from .types import LEN, WireError
+from .types import LEN, WireError, null_where
+
+
+def _joined(texts: pa.Array, count: np.ndarray) -> pa.Array:
+    """Texts one after another, ``count[k]`` for each k, comma-joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), texts), ",")
 
 
 def render(e: W.Elements, valid: np.ndarray | None = None) -> pa.Array:
-    raw = W.binary(e.data, e.off, e.len).to_pylist()
-    out: list[dict] = [{} for _ in range(e.rows)]
-    for row, i, n, t, u, b in zip(e.row.tolist(), e.i.tolist(), e.n.tolist(), e.t.tolist(), e.u.tolist(), raw, strict=True):
-        v = base64.b64encode(b).decode() if t == LEN else u
-        out[row].setdefault(n, []).append({"i": i, "n": n, "t": t, "v": v})
-    text = [json.dumps({str(n): x[n] for n in sorted(x)}, separators=(",", ":")) for x in out]
-    return pa.array(text, pa.string(), mask=None if valid is None else ~valid)
+    e = e.take(np.lexsort((e.i, e.n, e.row)))
+    text = lambda x: pa.array(x).cast(pa.string())
+    payload = np.flatnonzero(e.t == LEN)
+    coded = pa.array(['"' + base64.b64encode(b).decode() + '"' for b in W.binary(e.data, e.off[payload], e.len[payload]).to_pylist()], pa.string())
+    v = pc.replace_with_mask(text(e.u), pa.array(e.t == LEN), coded)
+    n = text(e.n)
+    each = pc.binary_join_element_wise('{"i":', text(e.i), ',"n":', n, ',"t":', text(e.t), ',"v":', v, "}", "")
+    first = np.flatnonzero(np.r_[True, (e.row[1:] != e.row[:-1]) | (e.n[1:] != e.n[:-1])]) if len(e.row) else np.zeros(0, np.int64)
+    fields = pc.binary_join_element_wise('"', n.take(pa.array(first)), '":[', _joined(each, np.diff(np.r_[first, len(e.row)])), "]", "")
+    out = pc.binary_join_element_wise("{", _joined(fields, np.bincount(e.row[first], minlength=e.rows)), "}", "")
+    return out if valid is None else null_where(out, ~valid)
 
 
 def read(column: pa.Array) -> W.Elements:
