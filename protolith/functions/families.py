@@ -10,6 +10,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import ops as O
 from . import wire as W
@@ -58,7 +59,35 @@ def _plain(t: ProtoType, v):
     return int(v) if isinstance(v, Decimal) else v
 
 
+def _plain_texts(t: ProtoType, values: pa.Array, quoted: bool) -> pa.Array | None:
+    """JSON of each element, or None if that takes more than a cast, quotes or base64."""
+    mark = ""
+    if t.name == "string":
+        raw, off = W.buffers(values)
+        raw = raw[off[0] : off[-1]]
+        if ((raw < 32) | (raw == ord('"')) | (raw == ord("\\"))).any():
+            return None
+        texts, mark = values, '"'
+    elif t.wire == LEN:
+        raw, off = W.buffers(values)
+        coded, size = J.base64_texts(raw, off[:-1], np.diff(off))
+        ends = np.cumsum(size)
+        texts, mark = null_where(W.binary(coded, ends - size, size).cast(pa.string()), np.asarray(values.is_null())), '"'
+    elif t.name in ("float", "double") or quoted and t.name == "bool":
+        return None
+    else:
+        texts, mark = values.cast(pa.string()), '"' if quoted else ""
+    texts = pc.binary_join_element_wise(mark, texts, mark, "") if mark else texts
+    return texts.fill_null("null")
+
+
 def json_texts(t: ProtoType, lists: pa.Array, quoted: bool) -> pa.Array:
+    values, sizes = O._flat(lists)
+    texts = _plain_texts(t, values, quoted)
+    if texts is not None:
+        ends = np.cumsum(sizes)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), texts), ",")
+        return null_where(pc.binary_join_element_wise("[", joined, "]", ""), np.asarray(lists.is_null()))
     show = (lambda v: str(int(v))) if quoted else (lambda v: _plain(t, v))
     return pa.array([None if x is None else json.dumps([None if v is None else show(v) for v in x], separators=(",", ":"), ensure_ascii=False) for x in lists.to_pylist()], pa.string())
 
@@ -90,7 +119,7 @@ def returns(kind: str, family: str, t: ProtoType, as_list: bool = False) -> str:
 
 
 def implement(kind: str, family: str, t: ProtoType, on_error: str = "raise", as_list: bool = False) -> Callable[..., pa.Array]:
-    """An Arrow function of (message, arguments...). ``on_error='null'`` gives null for rows in error instead of raising."""
+    """An Arrow function of (message, arguments...); numbers, indices and ``packed`` may be one Python value for all rows. ``on_error='null'`` gives null for rows in error instead of raising."""
     spec = FAMILIES[family]
     names = [a for a in spec.args if a != "packed" or t.packable]
 
@@ -106,7 +135,8 @@ def implement(kind: str, family: str, t: ProtoType, on_error: str = "raise", as_
         k = O.numbers(a["k"], rows) if "k" in a else None
         packed = np.zeros(rows, bool)
         if "packed" in a:
-            packed = np.asarray(a["packed"].cast(pa.bool_()).fill_null(False).to_numpy(zero_copy_only=False), bool)
+            asked = a["packed"]
+            packed = np.full(rows, asked) if isinstance(asked, bool) else np.asarray(asked.cast(pa.bool_()).fill_null(False).to_numpy(zero_copy_only=False), bool)
         lists = a.get("values")
         if lists is not None and (pa.types.is_string(lists.type) or pa.types.is_large_string(lists.type)):
             lists = from_json_texts(t, lists)

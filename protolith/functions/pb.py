@@ -4,6 +4,13 @@
 numbers, indices and values are Python literals or columns. Each function exists once for
 messages (binary) and, with ``kind="wire_json"``, for wire JSON texts.
 
+Plain integers and flags go into the function itself instead of a column of their own. A call with no other
+arguments has a single child, so Spark chains it to the call that it reads in one Python worker, and what
+passes between them never leaves it.
+
+``once=True`` counts as nondeterministic, so that Catalyst evaluates a column once, however many expressions
+read it, and doesn't copy it into each; filter plain columns before.
+
 ``on_error="null"`` gives null where the default raises: Python functions inside ``CASE`` run for
 all rows, so a guard cannot keep them from an error.
 """
@@ -49,79 +56,92 @@ def _value(t: ProtoType, x) -> Column:
     return F.lit(bytes(x) if isinstance(x, (bytes, bytearray)) else x).cast(t.spark)
 
 
-def _call(family: str, source, type_name: str, *args: Column, kind: str = MESSAGE, on_error: str = "raise", as_list: bool = False) -> Column:
+def _bound(f, args: Sequence):
+    """``f`` with those of its arguments in it that are no columns."""
+
+    def run(source: pa.Array, *columns: pa.Array) -> pa.Array:
+        rest = iter(columns)
+        return f(source, *(next(rest) if x is None else x for x in fixed))
+
+    fixed = [None if isinstance(x, Column) else x for x in args]
+    return run
+
+
+def _call(family: str, source, type_name: str, *args, kind: str = MESSAGE, on_error: str = "raise", as_list: bool = False, once: bool = False) -> Column:
     t = TYPES[type_name]
-    return _udf(implement(kind, family, t, on_error, as_list), returns(kind, family, t, as_list))(_col(source), *args)
+    args = [x if type(x) in (int, bool) else _lit(x) for x in args]
+    f = _udf(_bound(implement(kind, family, t, on_error, as_list), args), returns(kind, family, t, as_list))
+    return (f.asNondeterministic() if once else f)(_col(source), *(x for x in args if isinstance(x, Column)))
 
 
-def _packed(type_name: str, packed: bool) -> tuple[Column, ...]:
-    return (F.lit(packed),) if TYPES[type_name].packable else ()
+def _packed(type_name: str, packed: bool) -> tuple:
+    return (packed,) if TYPES[type_name].packable else ()
 
 
 def get(source, n: int, type_name: str, default=None, **o) -> Column:
     """The last occurrence of a field, or ``default``."""
-    return _call("get", source, type_name, _lit(n), _value(TYPES[type_name], default), **o)
+    return _call("get", source, type_name, n, _value(TYPES[type_name], default), **o)
 
 
 def has(source, n: int, type_name: str, **o) -> Column:
-    return _call("has", source, type_name, _lit(n), **o)
+    return _call("has", source, type_name, n, **o)
 
 
 def count(source, n: int, type_name: str, **o) -> Column:
-    return _call("count", source, type_name, _lit(n), **o)
+    return _call("count", source, type_name, n, **o)
 
 
 def element(source, n: int, type_name: str, k, **o) -> Column:
-    return _call("element", source, type_name, _lit(n), _lit(k), **o)
+    return _call("element", source, type_name, n, k, **o)
 
 
 def get_repeated(source, n: int, type_name: str, **o) -> Column:
     """All elements as an array."""
-    return _call("json_array", source, type_name, _lit(n), as_list=True, **o)
+    return _call("json_array", source, type_name, n, as_list=True, **o)
 
 
 def as_json_array(source, n: int, type_name: str, **o) -> Column:
-    return _call("json_array", source, type_name, _lit(n), **o)
+    return _call("json_array", source, type_name, n, **o)
 
 
 def as_json_string_array(source, n: int, type_name: str, **o) -> Column:
-    return _call("json_string_array", source, type_name, _lit(n), **o)
+    return _call("json_string_array", source, type_name, n, **o)
 
 
 def set(source, n: int, type_name: str, value, **o) -> Column:  # noqa: A001
-    return _call("set", source, type_name, _lit(n), _value(TYPES[type_name], value), **o)
+    return _call("set", source, type_name, n, _value(TYPES[type_name], value), **o)
 
 
 def add(source, n: int, type_name: str, value, packed: bool = False, **o) -> Column:
-    return _call("add", source, type_name, _lit(n), _value(TYPES[type_name], value), *_packed(type_name, packed), **o)
+    return _call("add", source, type_name, n, _value(TYPES[type_name], value), *_packed(type_name, packed), **o)
 
 
 def add_all(source, n: int, type_name: str, values, packed: bool = False, **o) -> Column:
-    return _call("add_all", source, type_name, _lit(n), _lit(values), *_packed(type_name, packed), **o)
+    return _call("add_all", source, type_name, n, values, *_packed(type_name, packed), **o)
 
 
 def insert(source, n: int, type_name: str, k, value, packed: bool = False, **o) -> Column:
-    return _call("insert", source, type_name, _lit(n), _lit(k), _value(TYPES[type_name], value), *_packed(type_name, packed), **o)
+    return _call("insert", source, type_name, n, k, _value(TYPES[type_name], value), *_packed(type_name, packed), **o)
 
 
 def replace(source, n: int, type_name: str, k, value, **o) -> Column:
-    return _call("replace", source, type_name, _lit(n), _lit(k), _value(TYPES[type_name], value), **o)
+    return _call("replace", source, type_name, n, k, _value(TYPES[type_name], value), **o)
 
 
 def remove(source, n: int, type_name: str, k, **o) -> Column:
-    return _call("remove", source, type_name, _lit(n), _lit(k), **o)
+    return _call("remove", source, type_name, n, k, **o)
 
 
 def clear(source, n: int, type_name: str = "int32", **o) -> Column:
-    return _call("clear", source, type_name, _lit(n), **o)
+    return _call("clear", source, type_name, n, **o)
 
 
 def clear_repeated(source, n: int, type_name: str = "int32", **o) -> Column:
-    return _call("clear_repeated", source, type_name, _lit(n), **o)
+    return _call("clear_repeated", source, type_name, n, **o)
 
 
 def set_repeated(source, n: int, type_name: str, values, packed: bool = False, **o) -> Column:
-    return _call("set_repeated", source, type_name, _lit(n), _lit(values), *_packed(type_name, packed), **o)
+    return _call("set_repeated", source, type_name, n, values, *_packed(type_name, packed), **o)
 
 
 def new() -> Column:
@@ -132,9 +152,10 @@ def wire_json_new() -> Column:
     return F.lit("{}")
 
 
-def wire_json(source) -> Column:
+def wire_json(source, once: bool = False) -> Column:
     """A message as wire JSON; null gives ``{}``."""
-    return _udf(to_wire_json, "string")(_col(source))
+    f = _udf(to_wire_json, "string")
+    return (f.asNondeterministic() if once else f)(_col(source))
 
 
 def from_wire(source) -> Column:

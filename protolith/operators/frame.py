@@ -118,11 +118,12 @@ def materialise(df: DataFrame, column: str, fields: dict[str, tuple]) -> DataFra
     return df.withColumn(held, pb.extract(column, fields)).select(*df.columns, f"{held}.*")
 
 
-def gather(df: DataFrame, keys: list[str], order: str, n: int, type_name: str, value: str, packed: bool = True, alias: str = "message") -> DataFrame:
-    """One message per group with ``value`` as its repeated field ``n``, in the order of ``order``."""
-    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("l"))
+def gather(df: DataFrame, keys: list[str], order: str, n: int, type_name: str, value: str, packed: bool = True, alias: str = "message", count: str | None = None, once: bool = False) -> DataFrame:
+    """One message per group with ``value`` as its repeated field ``n``, in the order of ``order``. ``count`` names a column with the number of values; ``once`` as in ``pb``."""
+    counted = [F.count("*").cast("int").alias(count)] if count else []
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("l"), *counted)
     values = F.transform("l", lambda x: x["v"])
-    return lists.select(*keys, pb.set_repeated(pb.new(), n, type_name, values, packed=packed).alias(alias))
+    return lists.select(*keys, *([count] if count else []), pb.set_repeated(pb.new(), n, type_name, values, packed=packed, once=once).alias(alias))
 
 
 def unique_violations(df: DataFrame, column: str, fields: dict[str, tuple]) -> DataFrame:
