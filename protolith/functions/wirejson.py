@@ -22,6 +22,9 @@ _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 _SIX = np.full(256, 255, np.uint8)
 _SIX[_ALPHABET] = np.arange(64)
 _TENS = np.array([10**k for k in range(20)], np.uint64)
+#: The column that was read last and the one that was rendered last, with their elements.
+_last: list = [None, None]
+_rendered: list = [None, None]
 #: What stands before an element's ordinal, field number, wire type and value.
 _I, _N, _T, _V = (np.frombuffer(x, np.uint8) for x in (b'{"i":', b',"n":', b',"t":', b',"v":'))
 
@@ -130,7 +133,9 @@ def render(e: W.Elements, valid: np.ndarray | None = None) -> pa.Array:
     out[value + size_v] = ord("}")
     _put(out, row_ends[e.row[last]] - 2, b"]}")
     mask = None if valid is None or valid.all() else pa.array(valid).buffers()[1]
-    return pa.Array.from_buffers(pa.string(), e.rows, [mask, pa.py_buffer(np.r_[0, row_ends].astype(np.int32)), pa.py_buffer(out)])
+    texts = pa.Array.from_buffers(pa.string(), e.rows, [mask, pa.py_buffer(np.r_[0, row_ends].astype(np.int32)), pa.py_buffer(out)])
+    _rendered[:] = texts, e if mask is None else e.take(np.flatnonzero(valid[e.row]))
+    return texts
 
 
 def _numbers(data: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,20 +246,20 @@ def _read_any(texts: list[str], at: np.ndarray, rows: int) -> W.Elements:
     return W.Elements(rows, a(row, np.int64), a(i, np.int64), a(n, np.int64), a(t, np.int8), a(u, np.uint64), off[:-1].copy(), np.diff(off), data)
 
 
-_last: tuple[pa.Array | None, W.Elements | None] = (None, None)
 
 
 def read(column: pa.Array) -> W.Elements:
     """Elements of wire JSON texts; a null is empty. Wrapped base64 is accepted.
 
-    Functions of one column get the same array, so what was read last is kept; edits never change elements in place.
+    Functions of one column get the same array, and a chained function gets the very array that was rendered for it;
+    edits never change elements in place, so what was read or rendered last is not read again.
     """
-    global _last
-    kept, e = _last
-    if kept is not column:
-        e = _read(column)
-        _last = (column, e)
-    return e
+    if _rendered[0] is column:
+        e = _rendered[1]
+        return e.take(np.lexsort((e.i, e.row)))
+    if _last[0] is not column:
+        _last[:] = column, _read(column)
+    return _last[1]
 
 
 def _read(column: pa.Array) -> W.Elements:
