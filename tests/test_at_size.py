@@ -87,7 +87,7 @@ def test_json_arrays_at_once_equal_json():
     assert json.loads(json_texts(TYPES["string"], odd, False)[0].as_py()) == ['a"b', "\\", "\n"]
 
 
-@pytest.mark.parametrize("name", ["pb_edit_bytes_wire_json", "pb_edit_string_wire_json"])
+@pytest.mark.parametrize("name", ["pb_edit_bytes_wire_json", "pb_edit_string_wire_json", "pb_edit_fixed64"])
 def test_edits_read_one_message_column(spark, name):
     """One function makes the messages, one reads and edits them: two Python workers a task, and no message is made twice."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
