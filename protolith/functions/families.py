@@ -76,11 +76,19 @@ def _plain_texts(t: ProtoType, values: pa.Array, quoted: bool) -> pa.Array | Non
     elif t.name in ("float", "double") or quoted and t.name == "bool":
         return None
     else:
-        texts, mark = values.cast(pa.string()), '"' if quoted else ""
+        texts, mark = _integers(values).cast(pa.string()), '"' if quoted else ""
     texts = pc.binary_join_element_wise(mark, texts, mark, "") if mark else texts
     return texts.fill_null("null")
 
 
+def _integers(values: pa.Array) -> pa.Array:
+    """Decimals of 64 bits as what they are, which show much sooner."""
+    if values.type != U64:
+        return values
+    u = np.frombuffer(values.buffers()[1], np.uint64)[2 * values.offset : 2 * (values.offset + len(values)) : 2] if len(values) else np.zeros(0, np.uint64)
+    return null_where(pa.array(u), np.asarray(values.is_null()))
+
+
 def json_texts(t: ProtoType, lists: pa.Array, quoted: bool) -> pa.Array:
     values, sizes = O._flat(lists)
     texts = _plain_texts(t, values, quoted)

@@ -75,12 +75,20 @@ def has(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray) -> pa.Array:
 
 def _logical(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray):
     """(elements of the fields, positions among them, place if packed, bits, row of each value, count per row)."""
-    at = _field(e, n)
-    own = e.take(at)
-    which, place, u, codes = W.logical(own, t.wire)
-    _mark(bad, own.row, codes)
-    row = own.row[which]
-    return at, at[which], place, u, row, np.bincount(row, minlength=e.rows)
+    key = (t.wire, int(n[0])) if len(n) and (n == n[0]).all() else None
+    if key is None or key not in e.known:
+        at = _field(e, n)
+        own = e.take(at)
+        which, place, u, codes = W.logical(own, t.wire)
+        row = own.row[which]
+        found = (at, at[which], place, u, row, np.bincount(row, minlength=e.rows)), own.row, codes
+        if key is not None:
+            e.known[key] = found
+    else:
+        found = e.known[key]
+    out, rows, codes = found
+    _mark(bad, rows, codes)
+    return out
 
 
 def count(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -157,14 +165,14 @@ def append_all(t: ProtoType, e: Elements, n: np.ndarray, values: pa.Array, sizes
         raw, size = W.encode_values(t.wire, u[joined])
         per = np.bincount(row[joined], size, e.rows).astype(np.int64)
         start = np.cumsum(per) - per
-        onto = np.flatnonzero(packed & (last >= 0) & (e.t[last] == LEN if len(e.t) else False))
-        fresh = np.setdiff1d(np.flatnonzero(packed), onto)
+        joins = packed & (last >= 0) & (e.t[last] == LEN if len(e.t) else False)
+        onto, fresh = np.flatnonzero(joins), np.flatnonzero(packed & ~joins)
         if len(onto):  # old payload, then the new bytes
             el = last[onto]
             both = np.concatenate([e.data, raw])
             offs = np.stack([e.off[el], len(e.data) + start[onto]], 1).ravel()
             lens = np.stack([e.len[el], per[onto]], 1).ravel()
-            whole = both[W.spread(offs, lens)]
+            whole = W.slices(both, offs, lens)
             size = e.len[el] + per[onto]
             out = _with_payload(out, el, whole, np.cumsum(size) - size, size)
         if len(fresh):
@@ -198,11 +206,14 @@ def insert(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray, k: np.ndar
     ok = _check(bad, k, size + 1)
     rows = np.flatnonzero(ok)
     keep = ok[row]
-    old_row, old_nth = row[keep], (np.arange(len(row)) - (np.cumsum(size) - size)[row])[keep]
+    old_row = row[keep]
     new_u, payload = _encode(t, values.take(pa.array(rows)))
-    order = np.lexsort((np.r_[old_nth * 2 + 1, k[rows] * 2], np.r_[old_row, rows]))
-    row = np.r_[old_row, rows][order]
     total = np.where(ok, size + 1, 0)
+    order = np.zeros(total.sum(), np.int64)
+    order[(np.cumsum(total) - total)[rows] + k[rows]] = len(old_row) + 1 + np.arange(len(rows))
+    order[order == 0] = 1 + np.arange(len(old_row))
+    order -= 1
+    row = np.r_[old_row, rows][order]
     nth = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
     next_i = e.next_i()
     gone = np.flatnonzero(~((e.n == n[e.row]) & ok[e.row]))
@@ -227,11 +238,18 @@ def insert(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray, k: np.ndar
 def _rebuild(e: Elements, wire: int, el: np.ndarray, u: np.ndarray) -> Elements:
     """Packed elements with the payloads that their values ``u`` (in order, by element ``el``) make."""
     raw, size = W.encode_values(wire, u)
-    which, start = np.unique(el, return_index=True)
+    start = np.flatnonzero(np.r_[True, el[1:] != el[:-1]][: len(el)])
+    which = el[start]
     per = np.add.reduceat(size, start) if len(start) else np.zeros(0, np.int64)
     return _with_payload(e, which, raw, np.cumsum(per) - per, per)
 
 
+def _among(e: Elements, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(e.row), bool)
+    out[at] = True
+    return out
+
+
 def replace_(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray, k: np.ndarray, values: pa.Array) -> Elements:
     """Replace the k-th element where it is: its ordinal and encoding stay."""
     _, el, place, u, row, size = _logical(t, e, bad, n)
@@ -248,7 +266,7 @@ def replace_(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray, k: np.nd
     if (~single).any():
         u = u.copy()
         u[at] = new_u
-        touched = np.isin(el, el[at[~single]])
+        touched = _among(e, el[at[~single]])[el]
         out = _rebuild(out, t.wire, el[touched], u[touched])
     return out
 
@@ -264,9 +282,9 @@ def remove(t: ProtoType, e: Elements, bad: np.ndarray, n: np.ndarray, k: np.ndar
     out = e
     if (~single).any():
         hit = el[at[~single]]
-        stays = np.isin(el, hit)
+        stays = _among(e, hit)[el]
         stays[at] = False
-        gone.append(np.setdiff1d(hit, el[stays]))
+        gone.append(hit[~_among(e, el[stays])[hit]])
         out = _rebuild(out, t.wire, el[stays], u[stays])
     keep = np.ones(len(e.row), bool)
     keep[np.concatenate(gone)] = False

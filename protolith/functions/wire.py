@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 
 from .types import I32, I64, LEN, VARINT, WireError
 
@@ -52,13 +53,20 @@ def spread(off: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(off - (ends - length), length)
 
 
+def slices(data: np.ndarray, off: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of slices, one after another; slices that already are so are not copied."""
+    if len(off) and (off[1:] == off[:-1] + length[:-1]).all():
+        return data[off[0] : off[-1] + length[-1]]
+    return data[spread(off, length)]
+
+
 def binary(data: np.ndarray, off: np.ndarray, length: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
     """A binary array of slices."""
     ends = np.zeros(len(off) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
     if ends[-1] >= 1 << 31:
         raise WireError("a batch holds over 2 GB of messages; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    packed = data[spread(off, length)] if ends[-1] else np.zeros(0, np.uint8)
+    packed = slices(data, off, length) if ends[-1] else np.zeros(0, np.uint8)
     mask = None if valid is None or valid.all() else pa.array(valid).buffers()[1]
     return pa.Array.from_buffers(pa.binary(), len(off), [mask, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(packed)])
 
@@ -86,11 +94,16 @@ def read_fixed(data: np.ndarray, pos: np.ndarray, end: np.ndarray, size: int) ->
     bad = np.where(pos + size > end, TRUNCATED, OK).astype(np.int8)
     value = np.zeros(len(pos), np.uint64)
     ok = np.flatnonzero(bad == OK)
-    for k in range(size):
-        value[ok] |= data[pos[ok] + k].astype(np.uint64) << np.uint64(8 * k)
+    value[ok] = get_fixed(data, pos[ok], size)
     return value, pos + size, bad
 
 
+def get_fixed(data: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    if not len(pos):
+        return np.zeros(0, np.uint64)
+    return sliding_window_view(data, size)[pos].view(f"<u{size}").ravel().astype(np.uint64)
+
+
 @dataclass
 class Elements:
     """Wire elements of a batch of messages, by row and ordinal."""
@@ -104,6 +117,8 @@ class Elements:
     off: np.ndarray
     len: np.ndarray
     data: np.ndarray
+    #: What was found out about these elements, which never change in place; others start with nothing.
+    known: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def take(self, at: np.ndarray) -> Elements:
         return replace(self, **{k: getattr(self, k)[at] for k in ("row", "i", "n", "t", "u", "off", "len")})
@@ -126,8 +141,33 @@ class Elements:
         return e.take(np.lexsort((e.i, e.row)))
 
 
+#: The column that was written last with its elements; the one that was read last with what was read, by field number.
+_written: list = [None, None]
+_read: list = [None, {}]
+
+
 def parse(column: pa.Array, want: np.ndarray | None = None) -> tuple[Elements, np.ndarray]:
-    """Elements of each message and a code per row. ``want``: a field number per row, others are skipped over."""
+    """Elements of each message and a code per row. ``want``: a field number per row, others are skipped over.
+
+    Functions of one column get the same array, and a chained function gets the very array that was written for it;
+    neither is read again. The codes are the caller's own.
+    """
+    if want is not None and not (len(want) and (want == want[0]).all()):
+        return _parse(column, want)
+    if _written[0] is column:
+        e = _written[1]
+        all_ = want is None or (e.n == want[0]).all()
+        return (e if all_ else e.take(np.flatnonzero(e.n == want[0]))), np.zeros(e.rows, np.int8)
+    if _read[0] is not column:
+        _read[:] = column, {}
+    number = None if want is None else int(want[0])
+    if number not in _read[1]:
+        _read[1][number] = _parse(column, want)
+    e, bad = _read[1][number]
+    return e, bad.copy()
+
+
+def _parse(column: pa.Array, want: np.ndarray | None) -> tuple[Elements, np.ndarray]:
     data, offsets = buffers(column)
     pos, end = offsets[:-1].copy(), offsets[1:]
     bad = np.zeros(len(pos), np.int8)
@@ -186,16 +226,23 @@ def put_varints(out: np.ndarray, pos: np.ndarray, u: np.ndarray) -> None:
 
 
 def put_fixed(out: np.ndarray, pos: np.ndarray, u: np.ndarray, size: int) -> None:
-    for k in range(size):
-        out[pos + k] = ((u >> np.uint64(8 * k)) & np.uint64(255)).astype(np.uint8)
+    if len(pos):
+        sliding_window_view(out, size, writeable=True)[pos] = _fixed(u, size).reshape(-1, size)
+
+
+def _fixed(u: np.ndarray, size: int) -> np.ndarray:
+    return u.astype(f"<u{size}").view(np.uint8)
 
 
 def encode_values(wire: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, size of each) of values without tags."""
-    size = varint_sizes(u) if wire == VARINT else np.full(len(u), 8 if wire == I64 else 4, np.int64)
+    if wire != VARINT:
+        width = 8 if wire == I64 else 4
+        return _fixed(u, width), np.full(len(u), width, np.int64)
+    size = varint_sizes(u)
     ends = np.cumsum(size)
     out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
-    put_varints(out, ends - size, u) if wire == VARINT else put_fixed(out, ends - size, u, 8 if wire == I64 else 4)
+    put_varints(out, ends - size, u)
     return out, size
 
 
@@ -218,12 +265,24 @@ def serialise(e: Elements, valid: np.ndarray | None = None) -> pa.Array:
             put_varints(out, p, e.u[at])
         elif wire == LEN:
             put_varints(out, p, e.len[at].astype(np.uint64))
-            out[spread(p + lead[at], e.len[at])] = e.data[spread(e.off[at], e.len[at])]
+            out[spread(p + lead[at], e.len[at])] = slices(e.data, e.off[at], e.len[at])
         else:
             put_fixed(out, p, e.u[at], 8 if wire == I64 else 4)
     per_row = np.zeros(e.rows, np.int64)
     np.add.at(per_row, e.row, size)
-    return binary(out, np.cumsum(per_row) - per_row, per_row, valid)
+    column = binary(out, np.cumsum(per_row) - per_row, per_row, valid)
+    _written[:] = (column, _as_read(e)) if (valid is None or valid.all()) and _readable(e) else (None, None)
+    return column
+
+
+def _readable(e: Elements) -> bool:
+    return bool(((e.n >= 1) & (e.n <= MAX_FIELD) & (e.t >= 0) & (e.t != 3) & (e.t != 4) & (e.t <= I32) & ((e.t != I32) | (e.u >> np.uint64(32) == 0))).all())
+
+
+def _as_read(e: Elements) -> Elements:
+    """The elements as they are read from what was written of them: numbered anew, with what the wire type has."""
+    first = np.searchsorted(e.row, e.row)
+    return replace(e, i=np.arange(len(e.row)) - first, u=np.where(e.t == LEN, np.uint64(0), e.u), off=np.where(e.t == LEN, e.off, 0), len=np.where(e.t == LEN, e.len, 0))
 
 
 def logical(e: Elements, wire: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -240,13 +299,23 @@ def logical(e: Elements, wire: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     bad[(e.t != wire) & (e.t != LEN)] = FIELD_TYPE
     single = np.flatnonzero(e.t == wire)
     found = [(single, np.full(len(single), -1), e.u[single])]
+    if wire != VARINT:
+        width = 8 if wire == I64 else 4
+        run = np.flatnonzero((e.t == LEN) & (e.len > 0))
+        count = e.len[run] // width
+        bad[run[count * width < e.len[run]]] = TRUNCATED
+        at = np.repeat(run, count)
+        place = spread(np.zeros(len(run), np.int64), count)
+        u = get_fixed(e.data, e.off[at] + place * width, width)
+        if not len(single):
+            return at, place, u, bad
+        at, place, u = np.r_[single, at], np.r_[found[0][1], place], np.r_[found[0][2], u]
+        order = np.lexsort((place, at))
+        return at[order], place[order], u[order], bad
     live, pos, k = np.flatnonzero((e.t == LEN) & (e.len > 0)), e.off.copy(), 0
     end = e.off + e.len
     while len(live):
-        if wire == VARINT:
-            v, q, c = read_varints(e.data, pos[live], end[live])
-        else:
-            v, q, c = read_fixed(e.data, pos[live], end[live], 8 if wire == I64 else 4)
+        v, q, c = read_varints(e.data, pos[live], end[live])
         bad[live] = c
         ok = c == OK
         live = live[ok]

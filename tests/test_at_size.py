@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+from dataclasses import replace
 from decimal import Decimal
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 
 from protolith.functions import wire as W
 from protolith.functions import wirejson as J
-from protolith.functions.families import json_texts
+from protolith.functions.families import implement, json_texts
 from protolith.functions.types import TYPES
 from protolith.plans.queries import QUERIES
 
@@ -93,3 +94,74 @@ def test_edits_read_one_message_column(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
     assert plan.count("array_sort") == 1
+
+
+def test_fixed_edits_leave_the_worker_as_texts(spark):
+    """Arrays of decimals would cost the JVM more than the edits."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = QUERIES["pb_edit_fixed64"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "array_join" not in plan and "array<decimal" not in plan and plan.count("trim(") >= 16
+
+
+def _messages(rnd: random.Random, rows: int) -> pa.Array:
+    """Messages with a packed and a plain field of eight bytes each; some are empty, some end too soon."""
+    out = []
+    for _ in range(rows):
+        run = b"".join(rnd.getrandbits(64).to_bytes(8, "little") for _ in range(rnd.randint(0, 4))) + b"\1" * (rnd.random() < 0.1)
+        single = b"\x39" + rnd.getrandbits(64).to_bytes(8, "little")
+        out.append(b"".join(rnd.choice([single, b"\x3a" + bytes([len(run)]) + run, b"\x08\x05"]) for _ in range(rnd.randint(0, 3))))
+    return pa.array(out, pa.binary())
+
+
+def test_packed_runs_of_fixed_values_read_at_once():
+    rnd = random.Random(7)
+    for _ in range(100):
+        e, _ = W._parse(_messages(rnd, 6), np.full(6, 7))
+        want, codes = [], np.zeros(len(e.row), np.int8)
+        for k in range(len(e.row)):
+            raw = e.data[e.off[k] : e.off[k] + e.len[k]].tobytes()
+            if e.t[k] == W.I64:
+                want.append((k, -1, int(e.u[k])))
+            want += [(k, p, int.from_bytes(raw[8 * p : 8 * p + 8], "little")) for p in range(len(raw) // 8)]
+            codes[k] = W.TRUNCATED if len(raw) % 8 else W.OK
+        at, place, u, bad = W.logical(e, W.I64)
+        assert list(zip(at.tolist(), place.tolist(), u.tolist(), strict=True)) == want
+        assert np.array_equal(bad, codes)
+
+
+def test_written_messages_are_not_read_again_and_are_what_they_say(monkeypatch):
+    rnd = random.Random(8)
+    for _ in range(100):
+        e, _ = W._parse(_messages(rnd, 6), None)
+        written = W.serialise(e.take(np.flatnonzero(np.array([rnd.random() < 0.7 for _ in e.row], bool))))
+        for want in (None, np.full(6, 7)):
+            (a, bad), (b, code) = W.parse(written, want), W._parse(written, want)
+            _same(a, b)
+            assert np.array_equal(bad, code)
+    odd, number = W.serialise(replace(e, n=np.zeros_like(e.n))), np.full(6, 7)
+    assert np.array_equal(W.parse(odd)[1], W._parse(odd, None)[1])  # what cannot be read is read for its errors
+    column = _messages(rnd, 6)
+    first, codes = W.parse(column, number)
+    codes[:] = W.RANGE
+    monkeypatch.setattr(W, "_parse", None)
+    again, codes = W.parse(column, number)
+    assert again is first and not (codes == W.RANGE).any()
+
+
+def test_edits_of_fixed_lists_equal_edits_of_lists():
+    rnd, t = random.Random(9), TYPES["fixed64"]
+    for _ in range(60):
+        lists = [[rnd.getrandbits(64) for _ in range(rnd.randint(1, 5))] for _ in range(4)]
+        at, packed, texts = [rnd.randrange(len(x)) for x in lists], rnd.random() < 0.5, implement("message", "json_array", t)
+        new, k = pa.array([Decimal(5)] * 4, t.arrow), pa.array(at, pa.int32())
+        m = implement("message", "set_repeated", t)(pa.array([b""] * 4), 7, pa.array([[Decimal(v) for v in x] for x in lists], pa.list_(t.arrow)), packed)
+        for family, args, edit in (
+            ("insert", (k, new, packed), lambda x, p: x[:p] + [5] + x[p:]), ("replace", (k, new), lambda x, p: x[:p] + [5] + x[p + 1 :]), ("remove", (k,), lambda x, p: x[:p] + x[p + 1 :]),
+        ):
+            edited = implement("message", family, t)(m, 7, *args)
+            want = [json.dumps(edit(x, p), separators=(",", ":")) for x, p in zip(lists, at, strict=True)]
+            assert texts(edited, 7).to_pylist() == want
+            assert texts(pa.concat_arrays([edited]).slice(0, 4), 7).to_pylist() == want
