@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms of the benchmark get TF-IDF weights from document counts over the whole corpus.
-Items are cut into passages of about a window. For each ``ROWS`` passages a randomised SVD, whose products run on the executors over a bounded sample of corpus
-passages, gives a latent basis with as many dimensions, which holds those passages. Windows of the
+Items are cut into passages of about a window. For each ``ROWS`` passages a randomised SVD of all corpus passages, of which the executors make one matrix of how
+terms occur together, gives a latent basis with as many dimensions, which holds those passages. Windows of the
 documents are projected and compared by cosine with the passages; candidates are
 checked, where they are found, by the longest common subsequence of words and by
 the item's answer.
@@ -12,7 +12,7 @@ comparison. It loses nothing: half of an item's words in order cannot be found w
 fewer of its rarer words stand than that half must hold.
 
 The corpus is never shuffled: all passes over it are maps, and what comes back is
-a count per benchmark term and the leaks themselves.
+a count per benchmark term, the matrices, whose size depends on the benchmark alone, and the leaks themselves.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from .common import numbered, without, written
 
 #: Passages of items searched in one pass, and rows of one latent space.
 ITEMS, ROWS = 4000, 256
-#: Least latent dimensions, where rows are fewer; sampled passages for the basis; least share of a row's energy in it.
-RANK, SAMPLE, KEPT = 192, 20_000, 0.8
+#: Least latent dimensions, where rows are fewer; least share of a row's energy in the basis.
+RANK, KEPT = 192, 0.8
+#: Numbers of the matrices that are made in one pass, and of a piece of one that is sent.
+GRAM, PIECE = 1 << 23, 1 << 17
 #: Words of a block; a window is two blocks. So many words are searched at once.
 BLOCK, SLICE = 16, 1 << 18
 #: Characters of texts that are read at once; odd numbers of the words' hash and of its place in a table.
@@ -335,68 +337,98 @@ def _counts(docs: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
     return out, total
 
 
-def _products(passages: DataFrame, local: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'AQ over the passages, of a part's terms: each partition's product, summed in two steps."""
-    shape = q.shape
+def _triangle(n):
+    """Numbers in a lower triangle of ``n`` rows, which are packed one after another."""
+    return n * (n + 1) // 2
 
-    def run(batches):
-        out = np.zeros(shape)
-        for b in batches:
-            for low in range(0, b.num_rows, 1000):
-                column = b.column(0).slice(low, 1000)
-                t = local[column.flatten().to_numpy()]
-                row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[t >= 0]
-                if not len(row):
-                    continue
-                t = t[t >= 0]
-                w = weight[t] / np.sqrt(np.bincount(row, weight[t] ** 2))[row]
-                first = np.r_[True, row[1:] != row[:-1]]
-                seen = np.add.reduceat(w[:, None] * q[t], np.flatnonzero(first), axis=0)
-                order = np.argsort(t, kind="stable")
-                new = np.flatnonzero(np.r_[True, np.diff(t[order]) > 0])
-                out[t[order][new]] += np.add.reduceat((w[:, None] * seen[np.cumsum(first) - 1])[order], new, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["p"])
 
-    def add(batches):
-        out = np.zeros(shape)
-        for b in batches:
-            for x in b.column(0):
-                out += np.frombuffer(x.as_buffer()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["p"])
+def _add_pairs(out: np.ndarray, t: np.ndarray, w: np.ndarray, row: np.ndarray) -> None:
+    """Add L to a packed lower triangle, where L + L' is A'A and A has the weights ``w`` at terms ``t`` of its rows; those of a row stand together."""
+    start = _triangle(t)
+    np.add.at(out, start + t, w * w / 2)
+    for d in range(1, len(t)):
+        near = np.flatnonzero(row[d:] == row[:-d])
+        if not len(near):
+            return
+        a, b = t[near], t[near + d]
+        np.add.at(out, np.where(a > b, start[near] + b, start[near + d] + a), w[near] * w[near + d])
 
-    total = np.zeros(shape)
-    for r in passages.mapInArrow(run, "p binary").repartition(2).mapInArrow(add, "p binary").toLocalIterator():
-        total += np.frombuffer(r.p).reshape(shape)
-    return total
 
+def _grams(docs: DataFrame, vocab: dict[str, int], parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each part, (its term or -1 for each of the vocabulary, weights of its terms), A'A over every passage of the corpus, as ``_add_pairs`` packs it.
 
-def _sample(docs: DataFrame, vocab: dict[str, int], total: int) -> DataFrame:
-    """At most ``SAMPLE`` passages of the corpus, as terms."""
-    share = min(1.0, SAMPLE / 20 / max(1, total))
-    drawn = docs.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    A is never made. A task sends what it added up, so there are no more tasks than cores, however many partitions there are.
+    """
+    sizes = [_triangle(len(w)) for _, w in parts]
+    local = [np.append(x, np.int32(-1)) for x, _ in parts]
+
+    def run(batches):
+        read, totals = Reader(vocab), [np.zeros(n) for n in sizes]
+        for b in batches:
+            for _, ids, starts in read.slices(b.column(0)):
+                count = np.diff(starts)
+                passages = -(-count // (2 * BLOCK))
+                row = np.repeat(np.cumsum(passages) - passages, count) + spread(np.zeros(len(count), np.int64), count) // (2 * BLOCK)
+                high = 0
+                while high < len(ids):  # whole passages of bounded memory
+                    low, high = high, int(np.searchsorted(row, row[min(high + SLICE, len(ids)) - 1], "right"))
+                    for total, own, (_, weight) in zip(totals, local, parts, strict=True):
+                        t = own[ids[low:high]].astype(np.int64)
+                        held = np.flatnonzero(t >= 0)
+                        if not len(held):
+                            continue
+                        t, r = t[held], row[low + held]
+                        r -= r[0]
+                        _add_pairs(total, t, weight[t] / np.sqrt(np.bincount(r, weight[t] ** 2))[r], r)
+        for k, total in enumerate(totals):
+            for first in range(0, len(total), PIECE):
+                yield from sent(k, first, total[first : first + PIECE])
+
+    def sent(k: int, first: int, total: np.ndarray):
+        at = np.flatnonzero(total).astype(np.int32)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([first], pa.int64()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["part", "first", "at", "sum"])
 
-    def passages(batches):
+    def add(batches):
+        totals: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            out = []
-            for text in b.column(0).to_pylist():
-                found = words(text)
-                for a in range(0, len(found), 2 * BLOCK):
-                    if row := [vocab[w] for w in found[a : a + 2 * BLOCK] if w in vocab]:
-                        out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["row"])
+            for k, first, at, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                totals.setdefault((k, first), np.zeros(PIECE))[np.frombuffer(at, np.int32)] += np.frombuffer(value)
+        for (k, first), total in totals.items():
+            yield from sent(k, first, total)
+
+    schema = "part int, first long, at binary, sum binary"
+    some = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    out = [np.zeros(n) for n in sizes]
+    for r in some.repartition(8, "part", "first").mapInArrow(add, schema).toLocalIterator():
+        out[r.part][r.first + np.frombuffer(r.at, np.int32)] += np.frombuffer(r["sum"])
+    return out
 
-    return written(drawn.mapInArrow(passages, "row array<int>").limit(SAMPLE).repartition(8), "passages")
 
+def _times(low: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """(L + L') q of a packed lower triangle; some of its rows are unpacked at once."""
+    out = np.zeros_like(q)
+    for a in range(0, len(q), 256):
+        b = min(len(q), a + 256)
+        rows = np.zeros((b - a, b))
+        for k in range(a, b):
+            rows[k - a, : k + 1] = low[_triangle(k) : _triangle(k + 1)]
+        out[a:b] += rows @ q[:b]
+        out[:b] += rows.T @ q[a:b]
+    return out
 
-def _basis(sample: DataFrame, local: np.ndarray, weight: np.ndarray, own: np.ndarray, rank: int) -> np.ndarray:
-    """Leading right singular vectors of the weighted passages and of ``own``, the part's rows of length one, by two rounds of subspace iteration.
+
+def _basis(gram: np.ndarray, own: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the weighted passages, given by A'A, and of ``own``, the part's rows of length one, by two rounds of subspace iteration.
 
     Of a row whose energy is not kept in them, what is missing becomes a direction too: at least ``KEPT`` of
     each row's is in the basis, however many there are, so an exact copy keeps as much of its cosine.
     """
-    # rows of the part count as often as the sample, so the basis spans them
-    product = lambda q: _products(sample, local, weight, q) + 100.0 * (own.T @ (own @ q))
-    q = np.linalg.qr(np.random.RandomState(5).standard_normal((len(weight), min(len(weight), rank + 8))))[0]
+    # rows of the part count as often as the corpus, so the basis spans them
+    terms = own.shape[1]
+    often = max(1.0, 2 * gram[_triangle(np.arange(1, terms + 1)) - 1].sum() / len(own))
+    product = lambda q: _times(gram, q) + often * (own.T @ (own @ q))
+    q = np.linalg.qr(np.random.RandomState(5).standard_normal((terms, min(terms, rank + 8))))[0]
     for _ in range(2):
         q = np.linalg.qr(product(q))[0]
     values, vectors = np.linalg.eigh(q.T @ product(q))
@@ -406,35 +438,60 @@ def _basis(sample: DataFrame, local: np.ndarray, weight: np.ndarray, own: np.nda
     return np.c_[basis, more[size > 1e-6].T]
 
 
-def _part(sample: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages: list[tuple[int, list[str]]], rank: int) -> Part:
-    terms = sorted({vocab[w] for _, t in passages for w in t})
-    local = np.full(len(vocab), -1, np.int32)
-    local[terms] = np.arange(len(terms))
-    own, weight = np.zeros((len(passages), len(terms))), weight[terms]
+def _parts(docs: DataFrame, vocab: dict[str, int], weight: np.ndarray, passages: list[tuple[int, list[str]]], rank: int) -> list[Part]:
+    """Latent spaces of ``ROWS`` passages each, or of fewer where their words make too large a matrix."""
+
+    def fitting(some: list[tuple[int, list[str]]]) -> list:
+        terms = np.unique([vocab[w] for _, t in some for w in t])
+        if _triangle(len(terms)) <= GRAM or len(some) == 1:
+            return [(some, terms)]
+        return fitting(some[: len(some) // 2]) + fitting(some[len(some) // 2 :])
+
+    out, held = [], []
+    cuts = [x for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS)) for x in fitting([passages[k] for k in some])]
+    for some, terms in cuts:
+        if held and sum(_triangle(len(x)) for _, x in [*held, (some, terms)]) > GRAM:
+            out += _pass(docs, vocab, weight, held, rank)
+            held = []
+        held.append((some, terms))
+    return out + _pass(docs, vocab, weight, held, rank)
+
+
+def _pass(docs: DataFrame, vocab: dict[str, int], weight: np.ndarray, held: list[tuple[list, np.ndarray]], rank: int) -> list[Part]:
+    """Parts of (passages, terms), by one pass over the corpus."""
+    places = []
+    for _, terms in held:
+        local = np.full(len(vocab), -1, np.int32)
+        local[terms] = np.arange(len(terms))
+        places.append((local, weight[terms]))
+    return [_part(gram, vocab, *place, some, rank) for gram, place, (some, _) in zip(_grams(docs, vocab, places), places, held, strict=True)]
+
+
+def _part(gram: np.ndarray, vocab: dict[str, int], local: np.ndarray, weight: np.ndarray, passages: list[tuple[int, list[str]]], rank: int) -> Part:
+    own = np.zeros((len(passages), len(weight)))
     for k, (_, t) in enumerate(passages):
         np.add.at(own[k], at := local[[vocab[w] for w in t]], weight[at])
         own[k] /= np.sqrt((weight[at] ** 2).sum())
     unit = own / np.linalg.norm(own, axis=1, keepdims=True)
-    basis = _basis(sample, local, weight, unit, min(max(rank, len(passages)), len(terms)))
+    basis = _basis(gram, unit, min(max(rank, len(passages)), len(weight)))
     score = (basis * weight[:, None]) @ (own @ basis).T
     return Part([k for k, _ in passages], local, weight**2, score.astype(np.float32))
 
 
 @dataclass
 class Corpus:
-    """What indexes of any items need of a corpus: how many documents hold a word, and sampled passages of words."""
+    """What indexes of any items need of a corpus: how many documents hold a word."""
 
     vocab: dict[str, int]
     held: np.ndarray
     total: int
-    sample: DataFrame
 
 
 def survey(docs: DataFrame, vocab: set[str]) -> Corpus:
-    """One pass over all texts (column ``t``) for counts, and a sample of passages."""
+    """One pass over all texts (column ``t``) for counts."""
     known = {w: k for k, w in enumerate(sorted(vocab))}
     held, total = _counts(docs, known)
-    return Corpus(known, held, total, _sample(docs, known, total))
+    return Corpus(known, held, total)
 
 
 def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK, corpus: Corpus | None = None) -> Index | None:
@@ -448,12 +505,12 @@ def build_index(docs: DataFrame, items: list[tuple], rank: int = RANK, corpus: C
     # every term weighs something: copies of an item may be so many that all its words are frequent
     weight = np.log((corpus.total + 1) / (corpus.held + 0.5)) + 1
     passages = [(k, p) for k, t in enumerate(texts) for p in pieces(t)]
-    parts = [_part(corpus.sample, corpus.vocab, weight, [passages[k] for k in some], rank) for some in np.array_split(np.arange(len(passages)), math.ceil(len(passages) / ROWS))]
-    # executors get the terms of these items alone
+    # the matrices are of these items' terms alone
     vocab = {w: k for k, w in enumerate(sorted(own))}
     at = np.array([corpus.vocab[w] for w in vocab])
+    parts = _parts(docs, vocab, weight[at], passages, rank)
     for p in parts:
-        p.local = np.append(p.local[at], np.int32(-1))
+        p.local = np.append(p.local, np.int32(-1))
     return Index([k for k, _ in items], texts, [answer(t) for _, t in items], vocab, weight[at], parts)
 
 

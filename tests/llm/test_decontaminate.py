@@ -154,3 +154,49 @@ def test_long_items_are_found(spark):
     items = [(k, " ".join(f"w{k}x{i}" for i in range(size))) for k, size in enumerate((1000, 1000, 2000, 2000))]
     index = D.build_index(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("text AS t"), items)
     assert copies_found(index, items, foreign, rng) == len(items)
+
+
+def test_the_basis_is_of_every_passage(spark, monkeypatch):
+    """A'A of several parts, over texts of all lengths, against rows made one by one; long texts and small pieces too."""
+    rng, np = random.Random(11), D.np
+    vocab = {f"w{k}": k for k in range(60)}
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.05)), 80)}" for _ in range(rng.choice([0, 1, 31, 32, 33, 64, 200]))) for _ in range(120)] + [None, "", "W3 W3 w3"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(7)
+    weight = np.array([rng.uniform(1, 5) for _ in vocab])
+    places = []
+    for terms in (np.arange(0, 60, 2), np.array([3, 4, 5]), np.array([59])):
+        local = np.full(60, -1, np.int32)
+        local[terms] = np.arange(len(terms))
+        places.append((local, weight[terms]))
+    for words_, piece in ((D.SLICE, D.PIECE), (50, 7)):
+        monkeypatch.setattr(D, "SLICE", words_)
+        monkeypatch.setattr(D, "PIECE", piece)
+        for gram, (local, own) in zip(D._grams(docs, vocab, places), places, strict=True):
+            want = np.zeros((len(own), len(own)))
+            for text in texts:
+                found = D.words(text)
+                for a in range(0, len(found), 2 * D.BLOCK):
+                    x = np.zeros(len(own))
+                    held = [local[vocab[w]] for w in found[a : a + 2 * D.BLOCK] if w in vocab and local[vocab[w]] >= 0]
+                    np.add.at(x, held, own[held])
+                    want += np.outer(x, x) / (own[held] ** 2).sum() if held else 0
+            assert np.allclose(D._times(gram, np.eye(len(own))), want)
+
+
+def test_all_texts_reach_the_basis(spark, monkeypatch):
+    """More passages than any sample had: each counts once in the trace."""
+    docs = spark.range(30_000).selectExpr("concat('alpha x', id, ' beta') AS t")
+    seen = []
+    monkeypatch.setattr(D, "_basis", lambda gram, own, rank, basis=D._basis: (seen.append(2 * sum(gram[[0, 2]])), basis(gram, own, rank))[1])
+    index = D.build_index(docs, [(1, "alpha beta")])
+    assert abs(seen[0] - 30_000) < 1e-6 and index.leaks("x alpha beta")
+
+
+def test_parts_fit_the_matrices_of_a_pass(spark, monkeypatch):
+    """Wide parts are halved and passes made as needed; leaks stay the same."""
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = lambda: {(r.doc_id, r.item_id) for r in D.find_leaks(docs, bench).collect()}
+    whole, passes = found(), []
+    monkeypatch.setattr(D, "GRAM", 1 << 17)
+    monkeypatch.setattr(D, "_grams", lambda d, v, p, grams=D._grams: (passes.append(sum(D._triangle(len(w)) for _, w in p)), grams(d, v, p))[1])
+    assert found() == whole and len(passes) > 1 and max(passes) <= 1 << 17
